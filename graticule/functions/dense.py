@@ -70,3 +70,54 @@ def sums_by_group(x: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(group, kind="stable")
     ids, starts, counts = np.unique(group[order], return_index=True, return_counts=True)
     return ids, counts, np.add.reduceat(x[order], starts, axis=0)
+
+
+class FlatTrees:
+    """Trees as parallel arrays, for sending rows down in bulk.
+
+    ``feature`` is -1 where a node does not split; ``left`` / ``right`` are node
+    indices; ``roots`` maps sorted tree ids to their root's index.
+    """
+
+    def __init__(self, nodes) -> None:
+        index = {(r.tree_id, r.level, r.node): i for i, r in enumerate(nodes)}
+        self.depth = 1 + max((r.level for r in nodes), default=-1)
+        self.feature = np.array([r.feature if r.is_split else -1 for r in nodes], np.int64)
+        self.threshold = np.array([r.threshold if r.is_split else 0.0 for r in nodes], np.float64)
+        self.left = np.zeros(len(nodes), np.int64)
+        self.right = np.zeros(len(nodes), np.int64)
+        for i, r in enumerate(nodes):
+            if r.is_split:
+                self.left[i] = index[r.tree_id, r.level + 1, 2 * r.node]
+                self.right[i] = index[r.tree_id, r.level + 1, 2 * r.node + 1]
+        self.tree_ids = np.array(sorted(r.tree_id for r in nodes if r.level == 0), np.int64)
+        self.roots = np.array([index[t, 0, 0] for t in self.tree_ids], np.int64)
+
+    def start(self, tree_ids: np.ndarray) -> np.ndarray:
+        """Root index of each row's tree, -1 for an unknown tree."""
+        at = np.minimum(np.searchsorted(self.tree_ids, tree_ids), len(self.tree_ids) - 1)
+        return np.where(self.tree_ids[at] == tree_ids, self.roots[at], -1)
+
+    def descend(self, x: np.ndarray, current: np.ndarray) -> np.ndarray:
+        """Index of the node where each row stops."""
+        rows = np.arange(len(x))
+        current = current.copy()
+        for _ in range(self.depth):
+            feature = np.where(current >= 0, self.feature[current], -1)
+            moving = feature >= 0
+            if not moving.any():
+                break
+            goes_left = x[rows, np.maximum(feature, 0)] <= self.threshold[current]
+            current = np.where(moving, np.where(goes_left, self.left[current], self.right[current]), current)
+        return current
+
+
+def combined(key: np.ndarray, value: np.ndarray, y: np.ndarray):
+    """Collapse equal (key, value) pairs: (keys, values, row counts, target sums)."""
+    order = np.lexsort((value, key))
+    key, value, y = key[order], value[order], y[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (value[1:] != value[:-1])
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.append(starts, len(key)))
+    return key[starts], value[starts], counts, np.add.reduceat(y, starts) if len(starts) else y[:0]
