@@ -98,11 +98,11 @@ class FlatTrees:
         at = np.minimum(np.searchsorted(self.tree_ids, tree_ids), len(self.tree_ids) - 1)
         return np.where(self.tree_ids[at] == tree_ids, self.roots[at], -1)
 
-    def descend(self, x: np.ndarray, current: np.ndarray) -> np.ndarray:
-        """Index of the node where each row stops."""
+    def descend(self, x: np.ndarray, current: np.ndarray, steps: int | None = None) -> np.ndarray:
+        """Index of the node each row reaches after ``steps`` levels (its leaf when None)."""
         rows = np.arange(len(x))
         current = current.copy()
-        for _ in range(self.depth):
+        for _ in range(self.depth if steps is None else steps):
             feature = np.where(current >= 0, self.feature[current], -1)
             moving = feature >= 0
             if not moving.any():
