@@ -180,13 +180,13 @@ def _texts(spark, d):
 
 def word_frequencies(spark, d):
     words = F.array(*[F.lit(w) for w in T.WORDS])
-    found = _texts(spark, d).select("doc_id", F.posexplode("word_freqs").alias("at", "freq"))
+    found = _texts(spark, d).select("doc_id", F.posexplode_outer("word_freqs").alias("at", "freq"))
     return found.select("doc_id", F.get(words, "at").alias("word"), F.round("freq", 6).alias("freq"))
 
 
 def char_frequencies(spark, d):
     chars = F.array(*[F.lit(c) for c in T.CHARACTERS])
-    found = _texts(spark, d).select("doc_id", F.posexplode("char_freqs").alias("at", "freq"))
+    found = _texts(spark, d).select("doc_id", F.posexplode_outer("char_freqs").alias("at", "freq"))
     return found.select("doc_id", F.get(chars, "at").alias("symbol"), F.round("freq", 6).alias("freq"))
 
 

@@ -38,8 +38,10 @@ def with_text_features(
 ) -> DataFrame:
     """Add ``word_freqs``, ``char_freqs`` (arrays) and the three capital-run columns.
 
-    The whole text is split once; only tokens of the vocabulary are kept for the
-    per-word counts.
+    The whole text is split once; only tokens of the vocabulary (a hash-set
+    lookup) are kept for the per-word counts. Explode the arrays with
+    ``posexplode_outer``: the plain form makes the optimizer repeat the whole
+    expression in a not-empty filter.
     """
     vocabulary = F.array(*[F.lit(w) for w in words])
     split = df.withColumn("_tokens", tokens(text)).withColumn(
@@ -47,7 +49,7 @@ def with_text_features(
     )
     known = split.withColumns(
         {
-            "_known": F.filter("_tokens", lambda t: F.array_contains(vocabulary, t)),
+            "_known": F.filter("_tokens", lambda t: t.isin(*words)),
             "_n": F.size("_tokens"),
         }
     )

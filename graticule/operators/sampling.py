@@ -37,7 +37,7 @@ def poisson_copies(key: Sequence, fraction: float, seed: int = 7) -> Column:
 def sample_with_replacement(df: DataFrame, key: Sequence, fraction: float, seed: int = 7) -> DataFrame:
     """Poisson sample: each row appears ``poisson_copies`` times."""
     copied = df.withColumn("_copies", poisson_copies(key, fraction, seed)).where("_copies > 0")
-    return copied.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).drop("_copies", "_copy")
+    return copied.withColumn("_copy", F.explode_outer(F.expr("sequence(1, _copies)"))).drop("_copies", "_copy")
 
 
 def holdout(df: DataFrame, key: Sequence, train_percent: int = 90, seed: int = 0) -> DataFrame:
@@ -63,4 +63,4 @@ def training_folds(df: DataFrame, key: Sequence, folds: int = 10, seed: int = 0)
 def explode_training_folds(df: DataFrame, folds: int, output: str = "tree_id") -> DataFrame:
     """Repeat each row for the ``folds - 1`` models that train on it."""
     others = F.array_except(F.array(*[F.lit(i) for i in range(folds)]), F.array("fold"))
-    return df.withColumn(output, F.explode(others))
+    return df.withColumn(output, F.explode_outer(others))

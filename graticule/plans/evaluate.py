@@ -59,7 +59,7 @@ def repeated_holdout(
     marked = rows.select("features", "label", F.explode(F.array(*runs)).alias("r")).select("features", "label", "r.*")
     model = train_trees(marked.where("is_train"), max_depth=max(depths), **options)
     tested = marked.where("not is_train").select(
-        "run", "label", F.explode(_votes_by_depth(model, trees, sorted(depths))).alias("v")
+        "run", "label", F.explode_outer(_votes_by_depth(model, trees, sorted(depths))).alias("v")
     )
     scored = tested.select("run", "label", "v.depth", F.when(2 * F.col("v.votes") > F.col("v.trees"), 1).otherwise(0).alias("prediction"))
     seed_of = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("run") + 1)
