@@ -38,7 +38,7 @@ RANGE = ["slot", "feature", "range"]
 _SLACK = 1e-9
 
 # Up to this many histogram cells a task keeps arrays, beyond it sorts each batch.
-_DENSE_CELLS = 2_000_000
+_DENSE_CELLS = 500_000
 
 
 @dataclass(frozen=True)

@@ -24,13 +24,8 @@ from graticule.functions.schedules import decayed
 from graticule.operators.sampling import sample_with_replacement
 from graticule.session import check_model_size
 
-# Beyond this many input partitions the per-neuron partials are merged in two
-# steps, so that no reducer reads one row from each of very many tasks.
-_TWO_STEP_PARTITIONS = 2_000
-_MERGE_GROUPS = 64
-
 # Wider vectors are merged element-wise as rows instead of as columns.
-_WIDE = 256
+_WIDE = 32
 
 
 @dataclass(frozen=True)
@@ -124,8 +119,14 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features") -> Dat
     )
 
 
-def unit_sums(samples: DataFrame, codebook: Codebook, features: str = "features") -> DataFrame:
-    """Rows (neuron, n, sums) of the neurons that won at least one sample."""
+def unit_sums(
+    samples: DataFrame, codebook: Codebook, features: str = "features", merge_groups: int | None = None
+) -> DataFrame:
+    """Rows (neuron, n, sums) of the neurons that won at least one sample.
+
+    With very many input partitions pass ``merge_groups`` to merge the partials in
+    two steps, so that one neuron's sums do not all meet in a single task.
+    """
     w, width = codebook.weights, codebook.width
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,27 +147,30 @@ def unit_sums(samples: DataFrame, codebook: Codebook, features: str = "features"
         )
 
     merged = samples.select(features).mapInArrow(partials, "neuron int, n bigint, sums array<double>")
-    if samples.rdd.getNumPartitions() > _TWO_STEP_PARTITIONS:
-        step = merged.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS)))
+    if merge_groups:
+        step = merged.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(merge_groups)))
         merged = _merge(step, ["neuron", "_part"], width)
     return _merge(merged, ["neuron"], width)
 
 
 def _merge(partials: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     if width <= _WIDE:
-        sums = F.array(*[F.sum(F.col("sums")[i]) for i in range(width)])
-        return partials.groupBy(*keys).agg(F.sum("n").alias("n"), sums.alias("sums"))
-    cells = partials.select(*keys, "n", F.posexplode("sums").alias("k", "s"))
-    cells = cells.groupBy(*keys, "k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        sums = ", ".join(f"sum(sums[{i}])" for i in range(width))
+        return partials.groupBy(*keys).agg(F.expr("sum(n) as n"), F.expr(f"array({sums}) as sums"))
+    cells = partials.selectExpr(*keys, "n", "posexplode_outer(sums) as (k, s)")
+    cells = cells.groupBy(*keys, "k").agg(F.expr("sum(n) as n"), F.expr("sum(s) as s"))
     # One list element per vector dimension of one neuron: bounded by the width.
-    return cells.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("sums"),
-    )
+    joined = "transform(array_sort(collect_list(struct(k, s))), e -> e.s) as sums"
+    return cells.groupBy(*keys).agg(F.expr("max(n) as n"), F.expr(joined))
 
 
 def updated(codebook: Codebook, stats: Sequence, sigma: float) -> Codebook:
-    """New weights from per-neuron (neuron, n, sums) rows; untouched neurons keep theirs."""
+    """New weights from per-neuron (neuron, n, sums) rows; untouched neurons keep theirs.
+
+    Weights keep 13 significant digits. Neurons whose weights agree in exact
+    arithmetic then agree in fact, and ties between them go to the lowest neuron
+    instead of following the order in which partial sums arrived.
+    """
     counts = np.zeros(codebook.neurons)
     sums = np.zeros_like(codebook.weights)
     for r in stats:
@@ -176,7 +180,13 @@ def updated(codebook: Codebook, stats: Sequence, sigma: float) -> Codebook:
     den = h @ counts
     num = h @ sums
     target = np.divide(num, den[:, None], out=codebook.weights.copy(), where=den[:, None] > 0)
-    return Codebook(codebook.rows, codebook.cols, target)
+    return Codebook(codebook.rows, codebook.cols, _significant(target))
+
+
+def _significant(x: np.ndarray, digits: int = 12) -> np.ndarray:
+    size = np.abs(x)
+    scale = 10.0 ** np.floor(np.log10(size, out=np.zeros_like(x), where=size > 0))
+    return np.round(x / scale, digits) * scale
 
 
 def update_table(stats: DataFrame, grid: DataFrame, sigma: float) -> DataFrame:
@@ -214,6 +224,7 @@ def train_som(
     features: str = "features",
     subset_fraction: float | None = None,
     key: Sequence | None = None,
+    merge_groups: int | None = None,
 ) -> Codebook:
     """Train a map; one Spark action per iteration.
 
@@ -230,5 +241,5 @@ def train_som(
         drawn = samples
         if subset_fraction is not None:
             drawn = sample_with_replacement(samples, key or [features], subset_fraction, seed + t)
-        codebook = updated(codebook, unit_sums(drawn, codebook, features).collect(), sigma)
+        codebook = updated(codebook, unit_sums(drawn, codebook, features, merge_groups).collect(), sigma)
     return codebook

@@ -119,13 +119,17 @@ def train_trees(
         rows = rows.persist()
     totals = rows.groupBy("tree_id").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count("y").alias("labelled"),
         F.sum("y").alias("s"),
         F.max(F.size("features")).alias("width"),
         F.min("y").alias("y_min"),
         F.max("y").alias("y_max"),
     ).collect()
     if not totals:
+        rows.unpersist()
         return TreeModel()
+    if any(t["labelled"] < t["n"] for t in totals):
+        raise ValueError("every training row needs a label")
     width = max(t["width"] for t in totals)
     y_min, y_max = min(t["y_min"] for t in totals), max(t["y_max"] for t in totals)
     if impurity != "variance" and (y_min < 0 or y_max > 1):
