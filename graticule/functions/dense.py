@@ -19,42 +19,44 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), width)
 
 
-def nearest(x: np.ndarray, w: np.ndarray, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows of ``w`` for each row of ``x``: (index, squared distance).
+def nearest(x: np.ndarray, w: np.ndarray, k: int = 1) -> np.ndarray:
+    """Indices of the k nearest rows of ``w`` for each row of ``x``, nearest first.
 
-    A matrix product finds the candidates; rows whose candidates lie within the
-    product's rounding error are measured again term by term, so ties always go
-    to the lowest index.
+    A matrix product ranks the candidates; rows where two neighbouring ranks lie
+    within the product's rounding error are measured again term by term, so ties
+    always go to the lowest index.
     """
     n, d = x.shape
     index = np.empty((n, k), np.int64)
-    dist = np.empty((n, k), np.float64)
     w2 = np.einsum("ij,ij->i", w, w)
     step = max(1, _BLOCK_CELLS // max(len(w), d))
     for lo in range(0, n, step):
         block = x[lo : lo + step]
-        x2 = np.einsum("ij,ij->i", block, block)
-        approx = w2 - 2.0 * (block @ w.T)
-        slack = 8 * (d + 8) * np.finfo(np.float64).eps * (x2 + w2.max())
-        if k < len(w):
-            edge = np.partition(approx, k - 1, axis=1)[:, k - 1]
-        else:
-            edge = approx.max(axis=1)
-        near = approx <= (edge + slack)[:, None]
-        order = np.argsort(approx, axis=1, kind="stable")[:, :k] if k > 1 else approx.argmin(axis=1)[:, None]
-        top = np.take_along_axis(approx, order, axis=1)
-        unclear = near.sum(axis=1) > k
-        if k > 1:
-            unclear |= (np.diff(top, axis=1) <= slack[:, None]).any(axis=1)
+        rows = np.arange(len(block))
+        approx = w2[:, None] - 2.0 * (w @ block.T)
+        slack = 8 * (d + 8) * np.finfo(np.float64).eps * (np.einsum("ij,ij->i", block, block) + w2.max())
+        unclear = np.zeros(len(block), bool)
+        before = None
+        for j in range(k + 1):
+            value = approx.min(axis=0)
+            if before is not None:
+                unclear |= value - before <= slack
+            if j < k:
+                best = approx.argmin(axis=0)
+                index[lo : lo + step, j] = best
+                approx[best, rows] = np.inf
+                before = value
         if unclear.any():
-            rows = np.flatnonzero(unclear)
-            exact = np.where(near[rows], term_by_term(block[rows], w), np.inf)
-            order[rows] = np.argsort(exact, axis=1, kind="stable")[:, :k]
-        index[lo : lo + step] = order
-        for j in range(k):
-            diff = block - w[order[:, j]]
-            dist[lo : lo + step, j] = np.einsum("ij,ij->i", diff, diff)
-    return index, dist
+            again = np.flatnonzero(unclear)
+            exact = term_by_term(block[again], w)
+            index[lo + again] = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    return index
+
+
+def squared_distance(x: np.ndarray, w: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Squared distance of each row of ``x`` to the row of ``w`` its index names."""
+    diff = x - w[index]
+    return np.einsum("ij,ij->i", diff, diff)
 
 
 def term_by_term(x: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -151,10 +151,8 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows and share in percent of each class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"))  # always exactly one row
-    return counts.crossJoin(F.broadcast(total)).select(
-        label, "n", (100.0 * F.col("n") / F.col("_total")).alias("percent")
-    )
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select(label, "n", (100.0 * F.col("n") / total).alias("percent"))
 
 
 def cell_position(df: DataFrame, neuron: str, cols: int) -> DataFrame:

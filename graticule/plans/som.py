@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.functions.dense import matrix, nearest, sums_by_group
+from graticule.functions.dense import matrix, nearest, squared_distance, sums_by_group
 from graticule.functions.hashing import unit_interval
 from graticule.functions.schedules import decayed
 from graticule.operators.sampling import sample_with_replacement
@@ -95,12 +95,13 @@ def best_units(codebook: Codebook, features: Column | str = "features") -> Colum
 
     @F.arrow_udf("struct<bmu: int, second: int, d2: double>")
     def units(vectors: pa.Array) -> pa.Array:
-        index, dist = nearest(matrix(vectors, width), w, k)
+        x = matrix(vectors, width)
+        index = nearest(x, w, k)
         return pa.StructArray.from_arrays(
             [
                 pa.array(index[:, 0], pa.int32()),
                 pa.array(index[:, k - 1], pa.int32()),
-                pa.array(dist[:, 0], pa.float64()),
+                pa.array(squared_distance(x, w, index[:, 0]), pa.float64()),
             ],
             ["bmu", "second", "d2"],
         )
@@ -135,7 +136,7 @@ def unit_sums(
         for batch in batches:
             x = matrix(batch.column(0), width)
             if len(x):
-                ids, n, s = sums_by_group(x, nearest(x, w)[0][:, 0])
+                ids, n, s = sums_by_group(x, nearest(x, w)[:, 0])
                 counts[ids] += n
                 sums[ids] += s
         won = np.flatnonzero(counts)
