@@ -47,6 +47,7 @@ def main() -> None:
     # Start the Python workers and compile the first plans outside the timings.
     train_som(scaled.limit(1000), 2, 2, 1, width=4)
     train_trees(raw.limit(1000), max_depth=2)
+    train_trees(raw, max_depth=2)
 
     times: dict[str, float] = {}
 

@@ -91,7 +91,7 @@ def density_map(rows: DataFrame, codebook: Codebook, radius: float, features: st
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(w), np.int64)
-        step = max(1, 4_000_000 // len(w))
+        step = max(1, 250_000 // len(w))
         for batch in batches:
             x = matrix(batch.column(0), width)
             for lo in range(0, len(x), step):
