@@ -37,22 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graticule.llm import words as W
-from graticule.session import written
+from graticule.session import small_side, written
 
 WINDOW = 35
 GRAM = 8
 SPLIT_ABOVE = 64
 
 _SPANS = (
-    "doc_id long, text_hash long, n_words long, sha string, whole binary,"
-    " minis array<long>, starts array<int>, counts array<int>"
+    "doc_id long, text_hash long, n_words long, sha string, whole binary, minis array<long>, spans array<long>"
 )
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-
-
 def _find_runs(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches):
@@ -68,9 +63,9 @@ def _find_runs(window: int, gram: int):
                 [
                     batch.column("doc_id"), batch.column("text_hash"), pa.array(np.diff(first), pa.int64()),
                     pa.array(shas), pa.array(whole, pa.binary()), W.lists(pa.array(minis.view(np.int64)), per_text),
-                    W.lists(pa.array(at.astype(np.int32)), per_text), W.lists(pa.array(length.astype(np.int32)), per_text),
+                    W.lists(pa.array(at.astype(np.int64) * window + length - 1), per_text),
                 ],
-                names=["doc_id", "text_hash", "n_words", "sha", "whole", "minis", "starts", "counts"],
+                names=["doc_id", "text_hash", "n_words", "sha", "whole", "minis", "spans"],
             )
 
     return run
@@ -103,16 +98,17 @@ def _cut(window: int, split_above: int, pack: bool):
             starts, ends, hashes, first = W.words_in(data, offs)
             whole_hash = W.runs_hashed(hashes, window, 11)
             raw = data.tobytes()
-            ids, text_hashes = batch.column("doc_id"), batch.column("text_hash")
+            ids, copied = batch.column("uid"), batch.column("copied").to_pylist()
             seen: dict[bytes, list] = {}
             out: list[tuple] = []
             for row, runs in enumerate(batch.column("runs").to_pylist()):
                 ws, we = starts[first[row] : first[row + 1]], ends[first[row] : first[row + 1]]
                 plain = [raw[a:b] for a, b in zip(ws.tolist(), we.tolist())]
-                weight = 2 if batch.column("copied")[row].as_py() else 1
+                weight = 2 if copied[row] else 1
                 for r in runs:
                     hot = r["n"] > split_above
-                    pieces = [(r["start"] + k, 1) for k in range(r["windows"])] if hot else [(r["start"], r["windows"])]
+                    start, windows = divmod(r["span"], window)
+                    pieces = [(start + k, 1) for k in range(windows + 1)] if hot else [(start, windows + 1)]
                     for at, count in pieces:
                         packed = b" ".join(plain[at : at + count + window - 1])
                         key = xxhash.xxh3_128_digest(packed)
@@ -136,11 +132,8 @@ def _cut(window: int, split_above: int, pack: bool):
             else:
                 rows = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(rows), text_hashes.take(rows), pa.array([o[1] for o in out], pa.int32()),
-                        pa.array([o[2] for o in out], pa.binary()),
-                    ],
-                    names=["doc_id", "text_hash", "start", "key"],
+                    [ids.take(rows), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())],
+                    names=["uid", "start", "key"],
                 )
 
     return run
@@ -223,8 +216,8 @@ def _strip(window: int, whole_text: bool):
                 shas.append(hashlib.sha256(kept).hexdigest())
                 if whole_text:
                     texts.append(kept.decode())
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
-            names = ["doc_id", "text_hash", "removed", "stripped_sha"]
+            columns = [batch.column("uid"), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
+            names = ["uid", "removed", "stripped_sha"]
             if whole_text:
                 columns.append(pa.array(texts, pa.string()))
                 names.append("stripped")
@@ -233,78 +226,62 @@ def _strip(window: int, whole_text: bool):
     return run
 
 
-def _same_text():
-    return lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
-
-
 def repeated_passages(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, split_above: int = SPLIT_ABOVE, whole_text: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: what is left of its text (see the module's notes).
 
     With ``whole_text`` a column ``stripped`` holds the remaining words of a text that lost
-    some, and null where nothing was removed.
+    some, and null where nothing was removed; ``text_hash`` tells rows of one id apart.
     """
     if not 0 < gram <= window:
         raise ValueError("gram must lie between 1 and window")
-    keyed, same = _keyed(docs), _same_text()
-    spans = written(keyed.mapInArrow(_find_runs(window, gram), _SPANS), "passage-runs")
-    long_enough = F.col("n_words") >= window
-    copies = (
-        spans.where(long_enough).groupBy("whole")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("speaker")).where("n > 1")
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    # The row number is fixed by being written.
+    spans = written(
+        keyed.mapInArrow(_find_runs(window, gram), _SPANS).withColumn("uid", F.monotonically_increasing_id()), "passage-runs"
     )
+    long_enough = spans.where(F.col("n_words") >= window)
+    copies = long_enough.groupBy("whole").agg(F.count("*").alias("n"), F.min("uid").alias("speaker")).where("n > 1")
     settled = written(
-        spans.where(long_enough).select("doc_id", "text_hash", "whole").join(copies, "whole")
-        .select("doc_id", "text_hash", "speaker").distinct(), "passage-copies",
+        long_enough.select("uid", "whole").join(copies, "whole").select("uid", (F.col("uid") == F.col("speaker")).alias("speaks")),
+        "passage-copies",
     )
-    silent = settled.where(~(F.struct("doc_id", "text_hash").eqNullSafe(F.col("speaker"))))
-    speakers = settled.where(F.struct("doc_id", "text_hash").eqNullSafe(F.col("speaker"))).select(
-        F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), F.lit(True).alias("copied")
+    heard = (
+        spans.where(F.size("minis") > 0).join(small_side(settled, settled.count()), "uid", "left")
+        .where(F.coalesce("speaks", F.lit(True)))
+        .select("uid", F.col("speaks").isNotNull().alias("copied"), F.explode(F.arrays_zip("minis", "spans")).alias("r"))
     )
-    with_runs = spans.where(F.size("minis") > 0).select("doc_id", "text_hash", "minis", "starts", "counts").dropDuplicates(
-        ["doc_id", "text_hash"]
-    )
-    heard = with_runs.join(silent, same(with_runs, silent), "left_anti")
-    heard = heard.join(
-        speakers, heard["doc_id"].eqNullSafe(speakers["s_id"]) & (heard["text_hash"] == speakers["s_hash"]), "left"
-    ).select("doc_id", "text_hash", "minis", "starts", "counts", F.coalesce("copied", F.lit(False)).alias("copied"))
-    runs = heard.select(
-        "doc_id", "text_hash", "copied", F.explode(F.arrays_zip("minis", "starts", "counts")).alias("r")
-    ).select("doc_id", "text_hash", "copied", F.col("r.minis").alias("mini"), F.col("r.starts").alias("start"), F.col("r.counts").alias("windows"))
-    often = runs.groupBy("mini").agg(F.count("*").alias("n"), F.max("copied").alias("any_copied")).where("n > 1").select("mini", "n")
-    surviving = runs.join(often, "mini").groupBy("doc_id", "text_hash", "copied").agg(
-        F.collect_list(F.struct("mini", "start", "windows", "n")).alias("runs")
-    )
-    once = keyed.join(surviving, same(keyed, surviving)).select(
-        keyed["doc_id"], keyed["text_hash"], keyed["text"], surviving["copied"], surviving["runs"]
-    )
-    texts = written(once, "passage-texts")
-    packs = texts.select("doc_id", "text_hash", "text", "copied", "runs").mapInArrow(
-        _cut(window, split_above, True), "bucket long, key binary, packed binary, n long"
+    runs = heard.select("uid", "copied", F.col("r.minis").alias("mini"), F.col("r.spans").alias("span"))
+    often = runs.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1")
+    surviving = runs.join(often, "mini").groupBy("uid").agg(
+        F.max("copied").alias("copied"), F.collect_list(F.struct("mini", "span", "n")).alias("runs")
     )
+    named = written(surviving.join(spans.select("uid", "doc_id", "text_hash"), "uid"), "passage-candidates")
+    ids = named.select("doc_id", "text_hash").distinct()
+    ids = small_side(ids, named.count())
+    wanted = keyed.join(ids, _same(keyed, ids), "left_semi")
+    texts = written(wanted.join(named, _same(wanted, named)).select("uid", "text", "copied", "runs"), "passage-texts")
+    packs = texts.mapInArrow(_cut(window, split_above, True), "bucket long, key binary, packed binary, n long")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     flagged = packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), "key binary, flags binary")
-    flagged = flagged.groupBy("key").agg(F.max("flags").alias("flags"))
-    places = texts.where(~F.col("copied")).mapInArrow(
-        _cut(window, split_above, False), "doc_id long, text_hash long, start int, key binary"
-    ).distinct()
-    marks = places.join(flagged, "key").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "flags")).alias("marks"))
-    touched = texts.select("doc_id", "text_hash", "text").dropDuplicates(["doc_id", "text_hash"])
-    touched = touched.join(marks, same(touched, marks)).select(touched["doc_id"], touched["text_hash"], "text", "marks")
-    stripped = touched.mapInArrow(
-        _strip(window, whole_text), "doc_id long, text_hash long, removed long, stripped_sha string" + ", stripped string" * whole_text
+    flagged = flagged.groupBy("key").agg(F.first("flags").alias("flags"))
+    places = texts.where("not copied").mapInArrow(_cut(window, split_above, False), "uid long, start int, key binary")
+    marks = places.join(flagged, "key").groupBy("uid").agg(F.collect_list(F.struct("start", "flags")).alias("marks"))
+    stripped = texts.select("uid", "text").join(marks, "uid").mapInArrow(
+        _strip(window, whole_text), "uid long, removed long, stripped_sha string" + ", stripped string" * whole_text
     )
-    empty = hashlib.sha256(b"").hexdigest()
     everything = settled.select(
-        "doc_id", "text_hash", F.lit(None).cast("long").alias("removed"), F.lit(empty).alias("stripped_sha"),
+        "uid", F.lit(None).cast("long").alias("removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("stripped_sha"),
         *([F.lit("").alias("stripped")] if whole_text else []),
     )
-    changed = stripped.unionByName(everything)
-    base = spans.select("doc_id", "text_hash", "n_words", "sha")
-    out = base.join(changed, same(base, changed), "left")
-    gone = F.when(changed["stripped_sha"].isNull(), F.lit(0)).otherwise(F.coalesce("removed", "n_words"))
+    out = spans.select("uid", "doc_id", "text_hash", "n_words", "sha").join(stripped.unionByName(everything), "uid", "left")
+    gone = F.when(F.col("stripped_sha").isNull(), F.lit(0)).otherwise(F.coalesce("removed", "n_words"))
     return out.select(
-        base["doc_id"], "n_words", gone.cast("long").alias("n_removed"), F.coalesce("stripped_sha", "sha").alias("kept_sha256"),
-        *([base["text_hash"], "stripped"] if whole_text else []),
+        "doc_id", "n_words", gone.cast("long").alias("n_removed"), F.coalesce("stripped_sha", "sha").alias("kept_sha256"),
+        *(["text_hash", "stripped"] if whole_text else []),
     )
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
