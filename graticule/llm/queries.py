@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import minhash_dedup, substring_dedup
+from graticule.llm import best_fit_packing, minhash_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,4 +21,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op6_minhash_dedup, op7_substring_dedup]
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return best_fit_packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
