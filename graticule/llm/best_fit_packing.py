@@ -41,8 +41,8 @@ from graticule.llm.encoding import WordEncoder, tokenizer_path
 from graticule.session import written
 
 CAPACITY = 2048
-GROUPS = 96
-SMALL = 256
+GROUPS = 256
+SMALL = 640
 FILL = 0.98
 BLOCK_ROWS = 20_000
 CLOSING_ID = 0
