@@ -253,7 +253,8 @@ def repeated_passages(
         .select("uid", F.col("speaks").isNotNull().alias("copied"), F.explode(F.arrays_zip("minis", "spans")).alias("r"))
     )
     runs = heard.select("uid", "copied", F.col("r.minis").alias("mini"), F.col("r.spans").alias("span"))
-    often = runs.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that the join below shuffles both sides and a minimiser with many runs can be split.
+    often = written(runs.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1"), "passage-minimisers")
     surviving = runs.join(often, "mini").groupBy("uid").agg(
         F.max("copied").alias("copied"), F.collect_list(F.struct("mini", "span", "n")).alias("runs")
     )

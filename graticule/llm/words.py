@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes worked on at once: temporary arrays take about forty times as much.
-PIECE = 1 << 20
+PIECE = 1 << 19
 # Texts of about so many bytes are taken from an Arrow batch at once.
-CHUNK = 4 << 20
+CHUNK = 3 << 19
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
