@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import best_fit_packing, minhash_dedup, quality_rules, substring_dedup
+from graticule.llm import best_fit_packing, license_scan, minhash_dedup, quality_rules, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every text."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
@@ -31,4 +36,4 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_rules, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
+QUERIES = [op1_quality_rules, op2_license_scan, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
