@@ -60,7 +60,7 @@ TEMPLATES: list[tuple[str, str]] = [
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _lowered(text: Column) -> Column:
+def lowered(text: Column) -> Column:
     """A-Z folded only: ``lower`` where the text is ASCII, letter by letter otherwise."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     vocabulary = sorted({w for _, _, words in sets for w in words})
     least = min(need.values(), default=1)
 
-    text = _lowered(F.coalesce("text", F.lit("")))
+    text = lowered(F.coalesce("text", F.lit("")))
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     lines = F.transform(
         F.split(text, "\n"), lambda x: F.array_intersect(F.split(x, _GAP), known) if vocabulary else F.array().cast("array<string>")

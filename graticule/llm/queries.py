@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import best_fit_packing, embedding_dedup, license_scan, minhash_dedup, quality_rules, substring_dedup
+from graticule.llm import best_fit_packing, embedding_dedup, license_scan, minhash_dedup, quality_rules, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict of every URL."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
@@ -41,4 +46,4 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_rules, op2_license_scan, op3_embedding_dedup, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
+QUERIES = [op1_quality_rules, op2_license_scan, op3_embedding_dedup, op5_url_filter, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
