@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graticule.llm import best_fit_packing, embedding_dedup, license_scan, minhash_dedup, quality_rules, substring_dedup, url_filter
+from graticule.llm import (
+    best_fit_packing, chat_format, embedding_dedup, license_scan, minhash_dedup, quality_rules, source_mixing, substring_dedup, url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest role repair of every conversation, rendered."""
+    return chat_format.repair(table(spark, sf_dir, "conversations"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or model verdict of every URL."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
@@ -46,4 +53,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_quality_rules, op2_license_scan, op3_embedding_dedup, op5_url_filter, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing]
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by the production mixture."""
+    return source_mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "epoch", "domain", "lang", "source", "n_tokens"
+    )
+
+
+QUERIES = [op1_quality_rules, op2_license_scan, op3_embedding_dedup, op4_chat_format, op5_url_filter, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing, op9_source_mixing]
