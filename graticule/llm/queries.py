@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graticule.llm import (
-    best_fit_packing, chat_format, embedding_dedup, license_scan, minhash_dedup, quality_rules, source_mixing, substring_dedup, url_filter,
+    best_fit_packing, chat_format, embedding_dedup, license_scan, minhash_dedup, quality_rules, source_mixing, substring_dedup,
+    token_counts, url_filter,
 )
 
 
@@ -60,4 +61,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_quality_rules, op2_license_scan, op3_embedding_dedup, op4_chat_format, op5_url_filter, op6_minhash_dedup, op7_substring_dedup, op8_best_fit_packing, op9_source_mixing]
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text before and after private data is masked."""
+    return token_counts.edited(table(spark, sf_dir, "documents"), token_counts.masks)
+
+
+QUERIES = [
+    op1_quality_rules, op2_license_scan, op3_embedding_dedup, op4_chat_format, op5_url_filter, op6_minhash_dedup, op7_substring_dedup,
+    op8_best_fit_packing, op9_source_mixing, op10_token_counts,
+]
