@@ -8,7 +8,7 @@ links is a skewed join key on one side only, which adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graticule.session import written
@@ -23,18 +23,26 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where(
         "a is not null and b is not null and a != b"
     )
-    edges = written(edges.distinct(), "component-links")
+    edges, now = _counted(edges.distinct())
     state = None
-    while True:
+    while now != state and now[0]:
+        state = now
         both = edges.union(edges.select(F.col("hi"), F.col("lo"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = edges.join(least.withColumnRenamed("u", "lo"), "lo").select(F.col("m").alias("lo"), "hi")
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(first, "hi").where("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
-        edges = written(small.union(first.select(F.col("m").alias("lo"), "hi")).distinct(), "component-links")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
+        edges, now = _counted(small.union(first.select(F.col("m").alias("lo"), "hi")).distinct())
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
+
+
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links written, with their number and a check sum taken while writing."""
+    seen = Observation()
+    out = written(
+        edges.observe(
+            seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("lo", "hi")).alias("x"), F.bit_xor(F.xxhash64("hi", "lo")).alias("y")
+        ), "component-links",
+    )
+    return out, (seen.get["n"], seen.get["x"], seen.get["y"])

@@ -13,13 +13,13 @@ retained values agree. Steps:
    the sketch, missed with a chance near 1e-8 otherwise). A class that shares too few
    values with anyone enters no list, and passages that many texts quote are not used
    while rarer values remain.
-3. Each list links its members to a leader, lists that still hold several components to
-   a second one. Then only pairs of a list whose members are in different components are
-   generated. So a large group costs a pair or two per member instead of all pairs, and
-   no link that could join two components is left out. Two estimates filter pairs, each
-   at 5.5 deviations below the threshold: inside the join, one bit of the least value of
-   each of 256 parts of the hash range; then the union sketch. What passes is verified on
-   full sets.
+3. Each list links its members to a leader. The union sketch estimates each pair's
+   similarity; pairs 5.5 deviations below the threshold go, the others are verified on
+   full sets. So a large group costs one pair per member instead of all pairs.
+   A list whose members are still in several components is open. For the members of open
+   lists the same inverted lists are made of full sets, where the overlap needed is
+   certain and the rarest quarter of the values suffices; pairs of different components
+   are verified on full sets. No link that could join two components is left out.
 4. Components of the links.
 
 Rows: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable), ``kept``.
@@ -68,35 +68,13 @@ def _sets(width: int):
     return of
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    """Eight words: one bit of the least value of each of 256 parts, and which parts hold a value."""
-    part, at = np.unique((values & np.uint64(255)).astype(np.uint8), return_index=True)
-    bits, mask = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
-    mask[part] = 1
-    bits[part] = (values[at] >> np.uint64(8)).astype(np.uint8) & 1
-    return np.packbits(np.concatenate([bits, mask])).view(np.int64)
-
-
-def _alike(a: str, b: str, percent: int):
-    """Whether the bits of two sets allow the similarity: half the differing parts differ in their bit."""
-    add = lambda one: sum((F.bit_count(one(i)) for i in range(1, 4)), F.bit_count(one(0)))
-    bit = lambda c, i: F.col(c)[i]
-    mask = lambda c, i: F.col(c)[i + 4]
-    differ = add(lambda i: bit(a, i).bitwiseXOR(bit(b, i)).bitwiseAND(mask(a, i).bitwiseAND(mask(b, i))))
-    lone = add(lambda i: mask(a, i).bitwiseXOR(mask(b, i)))
-    parts = add(lambda i: mask(a, i).bitwiseOR(mask(b, i)))
-    q = (1 - percent / 100) / 2
-    return differ + lone / 2 <= parts * q + F.sqrt(parts * (q * (1 - q))) * DEVIATIONS
-
-
 def _sketches(width: int, k: int):
     sets = _sets(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches):
-            sizes, keys, kept, bits = [], [], [], []
+            sizes, keys, kept = [], [], []
             for values in sets(batch):
-                bits.append(_bits(values))
                 sizes.append(len(values))
                 keys.append(xxhash.xxh3_128_digest(values.tobytes()))
                 kept.append(values[:k])
@@ -105,9 +83,8 @@ def _sketches(width: int, k: int):
                 [
                     batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                     W.lists(pa.array(flat), np.array([len(v) for v in kept])),
-                    W.lists(pa.array(np.concatenate(bits)), np.full(len(bits), 8)),
                 ],
-                names=["doc_id", "text_hash", "n", "key", "sketch", "bits"],
+                names=["doc_id", "text_hash", "n", "key", "sketch"],
             )
 
     return run
@@ -152,11 +129,32 @@ def _links(pairs: DataFrame, classes: DataFrame, sets_of, k: int, percent: int,
     )
     sure, open_ = judged.where("whole").select("a", "b"), judged.where("not whole").select("a", "b")
     asked = open_.select(F.col("a").alias("key")).union(open_.select("b")).distinct()
-    sets = sets_of(written(asked, f"{name}-asked"))
-    open_ = open_.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    sets = sets_of(asked)
+    return written(sure.union(_verified(open_, sets, percent)), f"{name}-links")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` whose full sets are similar enough."""
+    both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
     meet = F.size(F.array_intersect("ma", "mb"))
-    open_ = open_.where(meet * 100 >= (F.size("ma") + F.size("mb") - meet) * percent).select("a", "b")
-    return written(sure.union(open_), f"{name}-links")
+    return both.where(meet * 100 >= (F.size("ma") + F.size("mb") - meet) * percent).select("a", "b")
+
+
+def _rarest(posted: DataFrame) -> DataFrame:
+    """Inverted lists ``value, key, held, need, rest`` of each set's ``held - need + 1`` rarest values.
+
+    ``rest`` counts the values from this one on. Values that only one set holds are the
+    rarest; they take their places but enter no list.
+    """
+    often = posted.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
+    shared = posted.join(often, "value").groupBy("key", "held", "need").agg(
+        F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v")
+    )
+    alone = F.col("held") - F.size("v")
+    entered = shared.select("key", "held", "need", alone.alias("alone"), (F.col("held") - F.col("need") + 1 - alone).alias("take"), "v")
+    return entered.where("take > 0").select(
+        "key", "held", "need", "alone", F.posexplode(F.slice("v", F.lit(1), F.col("take").cast("int"))).alias("i", "p")
+    ).select(F.col("p.value").alias("value"), "key", "held", "need", (F.col("held") - F.col("alone") - F.col("i")).alias("rest"))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILARITY_PERCENT, k: int = SKETCH) -> DataFrame:
@@ -164,13 +162,12 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
     rows = written(
-        keyed.mapInArrow(_sketches(width, k), "doc_id long, text_hash long, n long, key binary, sketch array<long>, bits array<long>"),
-        "sketches",
+        keyed.mapInArrow(_sketches(width, k), "doc_id long, text_hash long, n long, key binary, sketch array<long>"), "sketches"
     )
     filled = rows.where("n > 0")
     classes = filled.groupBy("key").agg(
         F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("speaker"), F.first("n").alias("n"),
-        F.first("sketch").alias("sketch"), F.first("bits").alias("bits"),
+        F.first("sketch").alias("sketch"),
     )
     classes = written(classes, "shingle-classes")
 
@@ -180,25 +177,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     need = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(
         F.least(F.lit(need_large), F.ceil(F.col("n") * percent / 100))
     )
-    posted = classes.select("key", "n", held.alias("held"), need.cast("long").alias("need"), F.explode("sketch").alias("value"))
-    often = posted.groupBy("value").agg(F.count("*").alias("f")).where("f > 1")
-    shared = posted.join(often, "value").groupBy("key", "held", "need").agg(
-        F.array_sort(F.collect_list(F.struct("f", "value"))).alias("v")
-    )
-    alone = F.col("held") - F.size("v")
-    entered = shared.select("key", "held", "need", alone.alias("alone"), (F.col("held") - F.col("need") + 1 - alone).alias("take"), "v")
-    entered = entered.where("take > 0").join(classes.select("key", "n", "bits"), "key")
-    lists = written(
-        entered.select(
-            "key", "n", "bits", "held", "need", "alone", F.posexplode(F.slice("v", F.lit(1), F.col("take").cast("int"))).alias("i", "p")
-        ).select("key", "n", "bits", "need", F.col("p.value").alias("value"), (F.col("held") - F.col("alone") - F.col("i")).alias("rest")),
-        "sketch-lists",
-    )
+    posted = classes.select("key", held.alias("held"), need.cast("long").alias("need"), F.explode("sketch").alias("value"))
+    lists = written(_rarest(posted), "sketch-lists")
 
     speakers = classes.select("key", "speaker")
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        who = small_side(asked, asked.count()).join(speakers, "key").select(
+        who = asked.join(speakers, "key").select(
             "key", F.col("speaker.doc_id").alias("s_id"), F.col("speaker.text_hash").alias("s_hash")
         )
         who = written(who, "set-speakers")
@@ -206,37 +191,30 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
         texts = keyed.join(who, keyed["doc_id"].eqNullSafe(who["s_id"]) & (keyed["text_hash"] == who["s_hash"])).select("key", "text")
         return written(texts.mapInArrow(_full_sets(width), "key binary, members array<long>").dropDuplicates(["key"]), "full-sets")
 
-    def star(lists: DataFrame, salt: int, name: str) -> tuple[DataFrame, DataFrame]:
-        """Confirmed pairs of list members with one leader of each list, and the lists without their leaders."""
-        leaders = lists.groupBy("value").agg(
-            F.min_by(F.struct("key", "n", "bits"), F.struct(F.xxhash64("key", F.lit(salt)), "key")).alias("l"), F.count("*").alias("m")
-        ).where("m > 1").select("value", F.col("l.key").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.bits").alias("leader_bits"))
-        led = lists.join(written(leaders, f"{name}-leaders"), "value").where("key != leader")
-        pairs = led.where(
-            (F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent) & _alike("bits", "leader_bits", percent)
-        ).select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-        return _links(pairs, classes, sets_of, k, percent, name), led.select(lists.columns)
-
-    def still_open(lists: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """Lists whose members are in several components, with the components as ``c``."""
-        label = components(links).withColumnRenamed("node", "key")
-        placed = lists.drop("c").join(label, "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-        mixed = placed.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("value")
-        return written(placed.join(written(mixed, f"{name}-values"), "value"), name)
-
-    links, led = star(lists, 1, "first-star")
-    opened = still_open(led, links, "open-lists")
-    more, led = star(opened, 2, "second-star")
-    links = written(links.union(more), "star-links")
-    placed = still_open(led, links, "last-lists")
-    x, y = placed.select(*(F.col(c).alias(f"{c}_x") for c in placed.columns)), placed.select(*(F.col(c).alias(f"{c}_y") for c in placed.columns))
+    leaders = lists.groupBy("value").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("leader"), F.count("*").alias("m"))
+    # Written, so that the join shuffles both sides and a long list can be split.
+    leaders = written(leaders.where("m > 1").select("value", "leader"), "list-leaders")
+    led = lists.join(leaders, "value").where("key != leader").select("value", "key", "leader")
+    star = led.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    links = _links(star, classes, sets_of, k, percent, "star-pairs")
+    label = components(links).withColumnRenamed("node", "key")
+    placed = led.join(label, "key", "left").select("value", "key", F.coalesce("component", "key").alias("c"))
+    opened = placed.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("value")
+    asked = placed.join(written(opened, "open-lists"), "value").select("key", "c").distinct()
+    asked = written(asked, "open-classes")
+
+    sets = sets_of(asked.select("key"))
+    size = F.size("members").cast("long")
+    posted = sets.select("key", size.alias("held"), F.ceil(size * percent / 100).alias("need"), F.explode("members").alias("value"))
+    placed = written(_rarest(posted).join(asked, "key"), "full-lists")
+    x, y = (placed.select(*(F.col(c).alias(f"{c}_{side}") for c in placed.columns)) for side in "xy")
     cross = x.join(
         y,
         (F.col("value_x") == F.col("value_y")) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y"))
-        & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent)
-        & (F.least("rest_x", "rest_y") >= F.greatest("need_x", "need_y")) & _alike("bits_x", "bits_y", percent),
+        & (F.least("held_x", "held_y") * 100 >= F.greatest("held_x", "held_y") * percent)
+        & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("held_x") + F.col("held_y")) * percent),
     ).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
-    label = components(links.union(_links(cross, classes, sets_of, k, percent, "cross-pairs")))
+    label = components(links.union(_verified(cross, sets, percent)))
 
     joined = classes.select("key", "least_id").join(label.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "least_id", F.coalesce("component", "key").alias("group")
