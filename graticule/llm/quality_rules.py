@@ -17,7 +17,8 @@ rate is below ``limit`` (the same as an exact upper confidence bound below it).
 Without enough labels nothing is certified and only the base rule rejects.
 
 Rows: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-``n_repeat_words``, ``base_failed``, ``kept``. A null text has no words and fails the base
+``n_repeat_words``, ``base_failed``, ``kept`` and ``text_hash``, which tells rows of one id
+apart. A null text has no words and fails the base
 rule. A null language is a stratum of its own. Several labels of one document count as
 its worst. Null or repeated ids: every row is judged by itself; rows of one id share its
 label. Empty tables give empty results; further columns are ignored.
@@ -88,12 +89,12 @@ def measures(docs: DataFrame) -> DataFrame:
     """Counts and shares of every row's text."""
     text = F.coalesce("text", F.lit(""))
     parts = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("text"),
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce("lang", F.lit("")).alias("stratum"), text.alias("text"),
         F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     counted = parts.select(
-        "doc_id", "stratum", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "text_hash", "stratum", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -102,7 +103,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return counted.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_hash", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)).alias("base_failed"),
         share("n_symbols", "word_chars").alias("symbols"), share("n_dup_lines", "n_lines").alias("dup_lines"),
         share("n_repeat_words", "n_words").alias("repeats"), share("n_capitals", "word_chars").alias("capitals"),
@@ -170,5 +171,5 @@ def judge(docs: DataFrame, labels: DataFrame, false_rejections: float = FALSE_RE
         rejected = rejected | F.coalesce(F.col(rule) > F.col(f"max_{rule}"), F.lit(False))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected).alias("kept"),
+        (~F.col("base_failed") & ~rejected).alias("kept"), "text_hash",
     )
