@@ -1,7 +1,134 @@
-"""SQL that DuckDB runs on the same tables, for the queries that SQL can express."""
+"""SQL that DuckDB runs on the same tables, for the queries that SQL can express.
+
+Left out, and compared with brute force in the tests instead: role repair (dynamic
+programming), URL verdicts (folds by a hash that DuckDB lacks), packing and token counts
+(tokenizer ids), mixing (order by the same hash).
+"""
 
 from __future__ import annotations
 
+from graticule.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES
+from graticule.llm.quality_rules import CUTOFFS, ERROR, FALSE_REJECTIONS
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOW = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+_WORD = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _components(links: str, nodes: str, node: str) -> str:
+    """Common tables ``reach(node, component)`` from ``links(a, b)`` and all ``nodes``."""
+    return f"""
+    sides AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+    walk AS (SELECT {node} AS node, {node} AS seen FROM {nodes} UNION SELECT w.node, b.b FROM walk w JOIN sides b ON w.seen = b.a),
+    reach AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
+
+
+def _quality() -> str:
+    rules, rows = list(CUTOFFS), []
+    for rule, cuts in CUTOFFS.items():
+        rows += [f"('{rule}', {g}, {cut})" for g, cut in enumerate(cuts)]
+    limit = FALSE_REJECTIONS / len(rules)
+    shares = {
+        "symbols": "n_symbols / nullif(word_chars, 0)", "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
+        "repeats": "n_repeat_words / nullif(n_words, 0)", "capitals": "n_capitals / nullif(word_chars, 0)",
+    }
+    melted = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, coalesce(CAST({s} AS DOUBLE), 0) AS x FROM m" for r, s in shares.items())
+    return rf"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+                      regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+    at8 AS (SELECT doc_id, unnest(range(0, len(ws) - 7)) AS i, ws FROM w WHERE len(ws) >= 8),
+    win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 8), ' ') AS s FROM at8),
+    twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) t(j) GROUP BY doc_id),
+    m0 AS (SELECT w.doc_id, stratum, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+                  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+                  length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+    m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
+    x AS ({melted}),
+    cuts(rule, g, cut) AS (VALUES {", ".join(rows)}),
+    good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+    k AS (SELECT stratum, x.rule, g, cut, count(*) AS n, count(*) FILTER (x > cut) AS k
+          FROM x JOIN cuts ON x.rule = cuts.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN k < n * {limit} THEN list_sum(list_transform(range(0, k + 1), lambda i:
+              exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit})))) ELSE 1 END AS tail,
+              (SELECT count(DISTINCT stratum) FROM k) AS strata FROM k),
+    ok AS (SELECT *, bool_and(tail <= {ERROR} / (strata * {len(rules)})) OVER (PARTITION BY stratum, rule ORDER BY g) AS passed FROM p),
+    best AS (SELECT stratum, rule, min(cut) AS cut FROM ok WHERE passed GROUP BY ALL),
+    bad AS (SELECT doc_id, bool_or(x > best.cut) AS rejected FROM x JOIN best ON x.stratum = best.stratum AND x.rule = best.rule GROUP BY doc_id)
+    SELECT m.doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT coalesce(rejected, false) AS kept
+    FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
+    """
+
+
+def _licences() -> str:
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
+    sets = [(label, sorted(set(words.split()))) for label, words in TEMPLATES]
+    templates = ", ".join(f"('{label}', {words}, {-(-len(words) * int(100 * CONTAINMENT) // 100)})" for label, words in sets)
+    return rf"""
+    WITH w AS (SELECT doc_id, {_LOW} AS text, regexp_extract_all({_LOW}, '{_ALNUM}') AS ws FROM documents),
+    phrases(phrase, label, n) AS (VALUES {phrases}),
+    spots AS (SELECT doc_id, label, unnest(list_filter(range(0, len(ws) - n + 1), lambda i: array_to_string(list_slice(ws, i + 1, i + n), ' ') = phrase)) AS place
+              FROM w, phrases WHERE len(ws) >= n),
+    base AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word FROM spots GROUP BY doc_id),
+    templates(label, words, need) AS (VALUES {templates}),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+    sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_ALNUM}')) AS b FROM lines),
+    hits AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share FROM sets, templates WHERE len(list_intersect(b, words)) >= need),
+    labels_ AS (SELECT DISTINCT doc_id, label, true AS base FROM spots UNION ALL SELECT DISTINCT doc_id, label, false FROM hits),
+    named AS (SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM labels_ GROUP BY doc_id),
+    best AS (SELECT doc_id, max(share) AS share FROM hits GROUP BY doc_id)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, round(CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(share, 0) END, 6)::DOUBLE AS score
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
+    """
+
+
+def _embeddings() -> str:
+    return f"""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+    {_components("links", "v", "vec_id")},
+    degree AS (SELECT a AS vec_id, count(*) AS n FROM sides GROUP BY a)
+    SELECT v.vec_id, coalesce(n, 0) AS n_links, component AS component_id, v.vec_id = component AS kept
+    FROM v JOIN reach ON v.vec_id = reach.node LEFT JOIN degree ON v.vec_id = degree.vec_id
+    """
+
+
+def _near_duplicates() -> str:
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+    at5 AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i + 1, i + 5), ' ') AS s FROM at5),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM meet JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * m >= 75 * (na.n + nb.n - m)),
+    {_components("links", "w", "doc_id")}
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component AS component_id, w.doc_id = component AS kept
+    FROM w JOIN reach ON w.doc_id = reach.node LEFT JOIN n ON w.doc_id = n.doc_id
+    """
+
+
+def _passages() -> str:
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+    at35 AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35),
+    win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i + 1, i + 35), ' ') AS s FROM at35),
+    twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY s) > 1),
+    gone AS (SELECT DISTINCT doc_id, i + j AS p FROM twice, range(35) t(j)),
+    words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": _quality(), "op2_license_scan": _licences(), "op3_embedding_dedup": _embeddings(),
+        "op6_minhash_dedup": _near_duplicates(), "op7_substring_dedup": _passages(),
+    }
