@@ -18,8 +18,10 @@ retained values agree. Steps:
    full sets. So a large group costs one pair per member instead of all pairs.
    A list whose members are still in several components is open. For the members of open
    lists the same inverted lists are made of full sets, where the overlap needed is
-   certain and the rarest quarter of the values suffices; pairs of different components
-   are verified on full sets. No link that could join two components is left out.
+   certain and the rarest quarter of the values suffices. Pairs of different components
+   are filtered inside the join by bitmaps of the sets, whose differing bits never
+   outnumber differing members, and then verified on full sets. No link that could join
+   two components is left out.
 4. Components of the links.
 
 Rows: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable), ``kept``.
@@ -48,6 +50,8 @@ SHINGLE = 5
 SIMILARITY_PERCENT = 75
 SKETCH = 64
 DEVIATIONS = 5.5
+BITMAP_BITS = 2048
+BITMAP_MEMBERS = 512
 
 
 def _sets(width: int):
@@ -90,6 +94,33 @@ def _sketches(width: int, k: int):
     return run
 
 
+def _level(n: int) -> int:
+    """How often a set is halved before it fits its bitmap."""
+    return max(0, int(np.ceil(np.log2(n / BITMAP_MEMBERS)))) if n else 0
+
+
+def _bitmap(values: np.ndarray, level: int) -> np.ndarray:
+    """Bits of the members that the hash keeps in ``level`` halvings."""
+    some = values[(values >> np.uint64(20)) & np.uint64((1 << level) - 1) == 0]
+    out = np.zeros(BITMAP_BITS, np.uint8)
+    out[(some % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+def _alike(x: str, y: str, percent: int):
+    """Whether bitmaps allow the similarity.
+
+    Similar sets differ in at most ``(1 - s) / (1 + s)`` of both sizes; for halved sets that
+    bound gets its deviations.
+    """
+    level = lambda c: F.greatest(F.lit(0), F.ceil(F.log2(F.col(f"held{c}") / BITMAP_MEMBERS))).cast("int")
+    both = F.greatest(level(x), level(y))
+    bits = lambda c: F.when(level(c) == both, F.col(f"bits{c}")).otherwise(F.col(f"half{c}"))
+    differ = F.aggregate(F.zip_with(bits(x), bits(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    most = (F.col(f"held{x}") + F.col(f"held{y}")) * ((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), both)
+    return differ <= most + F.when(both > 0, F.sqrt(most) * DEVIATIONS + DEVIATIONS).otherwise(F.lit(1e-9))
+
+
 def _full_sets(width: int):
     sets = _sets(width)
 
@@ -97,8 +128,14 @@ def _full_sets(width: int):
         for batch in W.chunks(batches):
             found = list(sets(batch))
             flat = np.concatenate(found).view(np.int64)
+            maps = [np.concatenate([_bitmap(v, _level(len(v)) + half) for v in found]) for half in (0, 1)]
+            words = np.full(len(found), BITMAP_BITS // 64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), W.lists(pa.array(flat), np.array([len(v) for v in found]))], names=["key", "members"]
+                [
+                    batch.column("key"), W.lists(pa.array(flat), np.array([len(v) for v in found])),
+                    *(W.lists(pa.array(m), words) for m in maps),
+                ],
+                names=["key", "members", "bits", "half"],
             )
 
     return run
@@ -135,7 +172,8 @@ def _links(pairs: DataFrame, classes: DataFrame, sets_of, k: int, percent: int,
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough."""
-    both = pairs.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+    members = sets.select("key", "members")
+    both = pairs.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
     meet = F.size(F.array_intersect("ma", "mb"))
     return both.where(meet * 100 >= (F.size("ma") + F.size("mb") - meet) * percent).select("a", "b")
 
@@ -189,7 +227,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
         who = written(who, "set-speakers")
         who = small_side(who, who.count())
         texts = keyed.join(who, keyed["doc_id"].eqNullSafe(who["s_id"]) & (keyed["text_hash"] == who["s_hash"])).select("key", "text")
-        return written(texts.mapInArrow(_full_sets(width), "key binary, members array<long>").dropDuplicates(["key"]), "full-sets")
+        return written(
+            texts.mapInArrow(_full_sets(width), "key binary, members array<long>, bits array<long>, half array<long>")
+            .dropDuplicates(["key"]), "full-sets",
+        )
 
     leaders = lists.groupBy("value").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("leader"), F.count("*").alias("m"))
     # Written, so that the join shuffles both sides and a long list can be split.
@@ -206,13 +247,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     sets = sets_of(asked.select("key"))
     size = F.size("members").cast("long")
     posted = sets.select("key", size.alias("held"), F.ceil(size * percent / 100).alias("need"), F.explode("members").alias("value"))
-    placed = written(_rarest(posted).join(asked, "key"), "full-lists")
+    placed = written(_rarest(posted).join(asked, "key").join(sets.select("key", "bits", "half"), "key"), "full-lists")
     x, y = (placed.select(*(F.col(c).alias(f"{c}_{side}") for c in placed.columns)) for side in "xy")
     cross = x.join(
         y,
         (F.col("value_x") == F.col("value_y")) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y"))
         & (F.least("held_x", "held_y") * 100 >= F.greatest("held_x", "held_y") * percent)
-        & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("held_x") + F.col("held_y")) * percent),
+        & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("held_x") + F.col("held_y")) * percent)
+        & _alike("_x", "_y", percent),
     ).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
     label = components(links.union(_verified(cross, sets, percent)))
 
