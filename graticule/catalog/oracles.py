@@ -16,6 +16,7 @@ from graticule.catalog.sql import (
     walk_ctes,
 )
 from graticule.functions.text import CHARACTERS, WORDS
+from graticule.operators.sampling import FOLDS_SALT, GROUPS_SALT
 
 ROWS, COLS = GRID
 K = ROWS * COLS
@@ -97,7 +98,7 @@ def _tree(base: str, width: int, depth: int, **kw) -> str:
 
 
 def _forest_ctes(base: str, keys: list[str], trees: int, seed: int, width: int, depth: int) -> str:
-    grouped = hashed(base, keys, str(seed))
+    grouped = hashed(base, keys, str(seed + GROUPS_SALT))
     return (
         f"marked AS (SELECT row_number() OVER () AS id, *, {group_of('h', trees)} AS tree_id FROM {grouped}),\n"
         f"{tree_ctes('marked', width, depth)},\n"
@@ -163,7 +164,7 @@ def _reduced_error() -> str:
 
 
 def _cross_validation() -> str:
-    marked = hashed(LINES, ["l_orderkey", "line"], "1")
+    marked = hashed(LINES, ["l_orderkey", "line"], str(1 + FOLDS_SALT))
     return (
         f"WITH marked AS (SELECT row_number() OVER () AS id, x, y, {group_of('h', 10)} AS fold FROM {marked}),\n"
         "train AS (SELECT t.tree_id, x, y FROM marked, (SELECT unnest(range(10))::INTEGER AS tree_id) t WHERE tree_id <> fold),\n"
@@ -180,7 +181,7 @@ def _repeated_holdout() -> str:
     for seed in (0, 1, 2):
         ctes.append(
             f"drawn{seed} AS (SELECT o_orderkey AS id, x, y, {group_of('h', 100)} AS pick, {group_of('g', 4)} AS tree_id FROM "
-            + hashed(hashed(ORDERS, ["o_orderkey"], str(seed)), ["o_orderkey"], str(seed + 1_000_003), "g")
+            + hashed(hashed(ORDERS, ["o_orderkey"], str(seed)), ["o_orderkey"], str(seed + GROUPS_SALT), "g")
             + ")"
         )
     runs = " UNION ALL ".join(f"SELECT {s} AS seed, * FROM drawn{s}" for s in (0, 1, 2))
@@ -203,13 +204,13 @@ def _repeated_holdout() -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(picks)
 
 
-def _adjacency() -> str:
+def _adjacency(units: str = "u", first: str = "") -> str:
     dr, dc = f"abs(bmu // {COLS} - second // {COLS})", f"abs(bmu % {COLS} - second % {COLS})"
     near = f"({dr} <= 1 AND {dc} <= 1 AND {dr} + {dc} > 0)::INT"
     return (
-        "SELECT count(*) AS n, round(avg(distance), 6) AS quantization_error, "
+        f"SELECT {first}count(*) AS n, round(avg(distance), 6) AS quantization_error, "
         f"round(avg(({dr} = 1 AND {dc} = 1)::INT), 6) AS diagonal_rate, round(avg({near}), 6) AS adjacent_rate, "
-        f"round(1 - avg({near}), 6) AS topographic_error FROM u"
+        f"round(1 - avg({near}), 6) AS topographic_error FROM {units}"
     )
 
 
@@ -221,8 +222,8 @@ def _text_features() -> str:
         for c in CHARACTERS
     )
     return (
-        "tok AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9]+') AS tok, "
-        "list_transform(regexp_extract_all(text, '[A-Z]+'), lambda r: length(r)) AS runs FROM documents),\n"
+        "tok AS (SELECT doc_id, text, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS tok, "
+        "list_transform(regexp_extract_all(text, '\\p{Lu}+'), lambda r: length(r)) AS runs FROM documents),\n"
         f"feats AS (SELECT doc_id, [{words}]::DOUBLE[] AS word_freqs, [{chars}]::DOUBLE[] AS char_freqs, "
         "CASE WHEN len(runs) > 0 THEN list_sum(runs)::DOUBLE / len(runs) ELSE 0 END AS run_average, "
         "coalesce(list_max(runs), 0)::INTEGER AS run_longest, coalesce(list_sum(runs), 0)::BIGINT AS run_total FROM tok)"
@@ -263,6 +264,20 @@ def oracle_sql() -> dict[str, str]:
         )
         sampled_step.append(step_ctes(f"base{t}", COLS, _sigma(t, 2.0, 2.0), f"cb{t}", f"cb{t + 1}"))
     subsets = "WITH " + random_codebook(K, 4, 3) + ",\n" + ",\n".join(sampled_step)
+    by_fraction, scaled = [random_codebook(K, 4, 3)], "(SELECT l_orderkey, l_linenumber::BIGINT AS line, [" + ", ".join(
+        f"{c} / (SELECT stddev_samp({c}) FROM lineitem)" for c in columns.split(", ")
+    ) + "] AS x FROM lineitem)"
+    for i in range(1, 11):
+        by_fraction.append(
+            f"b{i} AS (SELECT row_number() OVER () AS id, x FROM (SELECT x, unnest(range({_copies(i / 10)})) AS copy "
+            f"FROM (SELECT x, {unit('h')} AS u FROM {hashed(scaled, ['l_orderkey', 'line'], '7')})))"
+        )
+        by_fraction.append(step_ctes(f"b{i}", COLS, _sigma(0, 2.0, 2.0), "cb0", f"f{i}a"))
+        by_fraction.append(step_ctes(f"b{i}", COLS, _sigma(1, 2.0, 2.0), f"f{i}a", f"f{i}b"))
+        by_fraction.append(units_cte(f"b{i}", f"f{i}b", f"u{i}"))
+    by_fraction = "WITH " + ",\n".join(by_fraction) + "\n" + " UNION ALL ".join(
+        _adjacency(f"u{i}", f"{i / 10}::DOUBLE AS fraction, ") for i in range(1, 11)
+    )
     start = f"WITH base AS (SELECT id, x FROM {SCALED}),\n{random_codebook(K, 4, 3)}"
     stream = f"WITH base AS (SELECT id, x FROM {EVENTS}),\n{random_codebook(K, 2, 3)}"
     held = f"WITH {_held_out()}"
@@ -324,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "poisson_sample": f"SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, unnest(range({_copies(0.5)})) AS c FROM {u_orders})",
         "sample_fractions": fractions,
         "holdout_split": f"SELECT o_orderkey, {group_of('h', 100)} < 90 AS is_train FROM {hashed('orders', ['o_orderkey'], '4')}",
-        "random_groups": f"SELECT l_orderkey, line, {group_of('h', 12)} AS tree_id FROM {hashed(LINES, ['l_orderkey', 'line'], '2')}",
+        "random_groups": f"SELECT l_orderkey, line, {group_of('h', 12)} AS tree_id FROM {hashed(LINES, ['l_orderkey', 'line'], str(2 + GROUPS_SALT))}",
         "cross_validation": _cross_validation(),
         "repeated_holdout": _repeated_holdout(),
         "som_unit_sums": f"{start},\n{units_cte('base', 'cb0', 'u')}\nSELECT bmu AS neuron, count(*) AS n, k::INTEGER AS component, "
@@ -335,6 +350,11 @@ def oracle_sql() -> dict[str, str]:
         "som_training_subsets": f"{subsets}\n{_weights('cb2')}",
         "som_best_units": f"WITH {_embedding_map()},\n{units_cte('base', 'cb3', 'u')}\nSELECT id AS vec_id, bmu, second, "
         f"(bmu // {COLS})::INTEGER AS row, (bmu % {COLS})::INTEGER AS col, round(distance, 6) AS distance FROM u",
+        "som_by_fraction": by_fraction,
+        "forest_large_nodes": f"WITH {_forest_ctes(LINES, ['l_orderkey', 'line'], 3, 2, 4, 3)}\n{NODES}",
+        "even_groups_after_split": f"SELECT {group_of('g', 100)} AS tree_id, count(*) AS n FROM "
+        + hashed(hashed(LINES, ["l_orderkey", "line"], "0"), ["l_orderkey", "line"], str(GROUPS_SALT), "g")
+        + f" WHERE {group_of('h', 100)} < 90 GROUP BY 1",
         "som_quality": f"WITH {_line_map()},\n{units_cte('base', 'cb2', 'u')}\n{_adjacency()}",
         "som_clusters": f"WITH {_line_map()},\n{units_cte('base', 'cb2', 'u')}\nSELECT neuron, (neuron // {COLS})::INTEGER AS row, "
         f"(neuron % {COLS})::INTEGER AS col, count(u.id) AS n, round(avg(distance), 6) AS mean_distance FROM cb2 "

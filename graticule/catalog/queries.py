@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -361,7 +363,7 @@ def _trained(spark, d, iterations=2):
 
 def _embedding_map(spark, d):
     return train_som(
-        embedding_samples(spark, d), *GRID, 3, width=64, smooth_iterations=2, sigma_0=2.0, sigma_f=0.5, tau=4.0, seed=2
+        embedding_samples(spark, d), *GRID, 3, width=64, smooth_iterations=2, sigma_0=2.0, sigma_f=0.5, tau=4.0, seed=2,
     )
 
 
@@ -388,7 +390,7 @@ def som_training_switched(spark, d):
 
 def som_training_subsets(spark, d):
     trained = train_som(
-        scaled_lines(spark, d), *GRID, 2, width=4, sigma_0=2.0, tau=2.0, seed=3, subset_fraction=0.5, key=LINE_KEY
+        scaled_lines(spark, d), *GRID, 2, width=4, sigma_0=2.0, tau=2.0, seed=3, subset_fraction=0.5, key=LINE_KEY,
     )
     return weights(trained, spark)
 
@@ -405,6 +407,34 @@ def som_quality(spark, d):
     return found.select("n", *[F.round(c, 6).alias(c) for c in found.columns if c != "n"])
 
 
+def som_by_fraction(spark, d):
+    """CSV, scaling without centring, a sample of each fraction, training and both errors: one row per fraction."""
+    path = scratch_path(spark, "samples-csv")
+    D.write_csv(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *LINE_COLUMNS), path)
+    read = D.read_csv(spark, path, ["order", "line", *LINE_COLUMNS])
+    rows = P.standard_scale(read, LINE_COLUMNS).select(
+        F.col("order").cast("bigint").alias("l_orderkey"), F.col("line").cast("bigint").alias("line"), P.vector(LINE_COLUMNS).alias("features")
+    ).persist()
+    found = []
+    for i in range(1, 11):
+        drawn = S.sample_with_replacement(rows, LINE_KEY, i / 10, 7)
+        book = train_som(drawn, *GRID, 2, width=4, sigma_0=2.0, tau=2.0, seed=3)
+        found.append(Q.quality(drawn, book).withColumn("fraction", F.lit(i / 10)))
+    out = reduce(DataFrame.unionByName, found)
+    return out.select("fraction", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("n", "fraction")])
+
+
+def forest_large_nodes(spark, d):
+    """The two-pass search of large nodes, reached by a low limit; equal to the outright search."""
+    return nodes(train_forest(lines(spark, d), LINE_KEY, trees=3, seed=2, max_depth=3, outright_rows=1000), spark)
+
+
+def even_groups_after_split(spark, d):
+    """Groups drawn after a split with the same seed stay even: rows of each group."""
+    train, _ = S.split(lines(spark, d), LINE_KEY, 90, seed=0)
+    return S.assign_groups(train, LINE_KEY, 100, seed=0).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def som_clusters(spark, d):
     found = Q.clusters(scaled_lines(spark, d), _trained(spark, d))
     return found.withColumn("mean_distance", F.round("mean_distance", 6))
@@ -610,7 +640,7 @@ QUERIES = [
     gather, scatter, gather_labels, mark_members, flag_and_complement,
     argmin, argmin_by_row, argmin_of_arrays, argmin_two_dimensional, total, total_by_segment, weighted_means,
     poisson_sample, sample_fractions, holdout_split, random_groups, cross_validation, repeated_holdout,
-    som_unit_sums, som_update_join, som_training, som_training_switched, som_training_subsets, som_best_units,
+    som_unit_sums, som_update_join, som_training, som_training_switched, som_training_subsets, som_by_fraction, forest_large_nodes, even_groups_after_split, som_best_units,
     som_quality, som_clusters, som_weight_mosaic, som_distance_map, som_density_map, som_classification,
     incremental_som, streaming_scoring,
     split_candidates, root_split, decision_tree, decision_tree_min_samples, decision_tree_entropy, decision_tree_min_gain,

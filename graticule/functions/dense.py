@@ -9,14 +9,17 @@ import pyarrow as pa
 _BLOCK_CELLS = 250_000
 
 
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """An Arrow list column as a dense (rows, width) float64 matrix."""
+def matrix(column: pa.Array, width: int, finite: bool = True) -> np.ndarray:
+    """An Arrow list column as a dense (rows, width) float64 matrix; ``finite`` refuses NaN and infinity."""
     if column.null_count:
-        raise ValueError("null feature vector; run prepare() first")
+        raise ValueError("null feature vector; drop such rows with operators.prepare.complete()")
     flat = column.flatten()
     if flat.null_count or len(flat) != len(column) * width:
         raise ValueError(f"every feature vector must hold {width} non-null values")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), width)
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if finite and not np.isfinite(values).all():
+        raise ValueError("NaN or infinite feature; drop such rows with operators.prepare.complete()")
+    return values.reshape(len(column), width)
 
 
 def nearest(x: np.ndarray, w: np.ndarray, k: int = 1) -> np.ndarray:

@@ -14,11 +14,12 @@ def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hashed(*key, seed: int = 0) -> Column:
-    return F.xxhash64(*[_column(c) for c in key], F.lit(seed).cast("bigint"))
+def hashed(*key, seed: int | Column = 0) -> Column:
+    last = seed if isinstance(seed, Column) else F.lit(seed).cast("bigint")
+    return F.xxhash64(*[_column(c) for c in key], last)
 
 
-def unit_interval(*key, seed: int = 0) -> Column:
+def unit_interval(*key, seed: int | Column = 0) -> Column:
     """Uniform double in [0, 1) built from the top 53 bits of the hash."""
     return F.shiftrightunsigned(hashed(*key, seed=seed), 11) * F.lit(2.0**-53)
 

@@ -22,8 +22,8 @@ def _text(c: Column | str) -> Column:
 
 
 def tokens(text: Column | str) -> Column:
-    """Maximal runs of ASCII letters and digits."""
-    return F.regexp_extract_all(_text(text), F.lit("[A-Za-z0-9]+"), 0)
+    """Maximal runs of letters and digits of any script."""
+    return F.regexp_extract_all(_text(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def char_frequency(text: Column | str, character: str) -> Column:
@@ -45,7 +45,7 @@ def with_text_features(
     """
     vocabulary = F.array(*[F.lit(w) for w in words])
     split = df.withColumn("_tokens", tokens(text)).withColumn(
-        "_runs", F.transform(F.regexp_extract_all(F.col(text), F.lit("[A-Z]+"), 0), F.length)
+        "_runs", F.transform(F.regexp_extract_all(F.col(text), F.lit(r"\p{Lu}+"), 0), F.length)
     )
     known = split.withColumns(
         {

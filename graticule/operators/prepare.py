@@ -107,6 +107,12 @@ def scale_vectors(df: DataFrame, features: str = "features", center: bool = Fals
     return scaled.withColumn(features, vector_to_array("_s")).select(*df.columns)
 
 
+def complete(df: DataFrame, features: str = "features") -> DataFrame:
+    """Rows whose vector is present and holds only finite numbers."""
+    sound = F.forall(features, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return df.where(F.coalesce(sound, F.lit(False)))
+
+
 def attribute_lists(df: DataFrame, keys: Sequence[str], features: str = "features") -> DataFrame:
     """Melt vectors to one row per (row, feature): keys, feature, value."""
     return df.select(*keys, F.posexplode(features).alias("feature", "value"))
@@ -160,7 +166,3 @@ def cell_position(df: DataFrame, neuron: str, cols: int) -> DataFrame:
     return df.withColumn("row", F.expr(f"cast({neuron} div {cols} as int)")).withColumn(
         "col", (F.col(neuron) % cols).cast("int")
     )
-
-
-def neuron_number(row: Column, col: Column, cols: int) -> Column:
-    return row * cols + col

@@ -219,7 +219,7 @@ def candidates(counts: DataFrame, totals: DataFrame, kind: str, before: DataFram
         *RANGE,
         "value",
         "next_value",
-        "(value + next_value) / 2 as threshold",
+        "case when (value + next_value) / 2 < next_value then (value + next_value) / 2 else value end as threshold",
         "n_left",
         "s_left",
         "n - n_left as n_right",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions.dense import FlatTrees, matrix
 from graticule.functions.hashing import group_of
-from graticule.operators.sampling import explode_training_folds, training_folds
+from graticule.operators.sampling import GROUPS_SALT, explode_training_folds, training_folds
 from graticule.operators.scans import running_sums
 from graticule.plans.tree import TreeModel, predict, train_trees
 
@@ -54,7 +54,7 @@ def repeated_holdout(
     runs = []
     for i, seed in enumerate(seeds):
         train = (group_of(*key, groups=100, seed=seed) < train_percent).alias("is_train")
-        tree_id = (F.lit(i * trees) + group_of(*key, groups=trees, seed=seed + 1_000_003)).alias("tree_id")
+        tree_id = (F.lit(i * trees) + group_of(*key, groups=trees, seed=seed + GROUPS_SALT)).alias("tree_id")
         runs.append(F.struct(F.lit(i).alias("run"), train, tree_id))
     marked = rows.select("features", "label", F.explode(F.array(*runs)).alias("r")).select("features", "label", "r.*")
     model = train_trees(marked.where("is_train"), max_depth=max(depths), **options)
@@ -133,10 +133,3 @@ def roc_points(
         F.struct(F.lit(float(r)).alias("max_fpr"), F.col(f"at_{i}").alias("tpr")) for i, r in enumerate(rates)
     ]
     return best.select(F.inline(F.array(*entries)))
-
-
-def mean_squared_error(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    error = F.col(label).cast("double") - F.col(prediction)
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(error * error).alias("mse"))
-
-

@@ -40,10 +40,10 @@ def votes(model: TreeModel, features: Column | str = "features") -> Column:
     return count(vector.cast("array<double>"))
 
 
-def votes_expression(model: TreeModel, features: Column | str = "features") -> Column:
-    """The same count without a Python worker, for forests of few nodes."""
-    if len(model.nodes) > EXPRESSION_NODES:
-        raise ValueError("too many nodes for one expression, use votes()")
+def votes_expression(model: TreeModel, features: Column | str = "features", max_nodes: int = EXPRESSION_NODES) -> Column:
+    """The same count without a Python worker; forests of more than ``max_nodes`` nodes are counted by ``votes``."""
+    if len(model.nodes) > max_nodes:
+        return votes(model, features)
     total = F.lit(0)
     for tree_id in model.tree_ids:
         total = total + tree_expression(model, tree_id, features).cast("int")

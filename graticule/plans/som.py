@@ -10,6 +10,7 @@ applied afterwards to the per-neuron sums, which is the same sum reordered:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -165,26 +166,45 @@ def _merge(partials: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     return cells.groupBy(*keys).agg(F.expr("max(n) as n"), F.expr(joined))
 
 
-def updated(codebook: Codebook, stats: Sequence, sigma: float) -> Codebook:
+def updated(codebook: Codebook, stats: Sequence, sigma: float, digits: int | None = 12) -> Codebook:
     """New weights from per-neuron (neuron, n, sums) rows; untouched neurons keep theirs.
 
-    Weights keep 13 significant digits. Neurons whose weights agree in exact
-    arithmetic then agree in fact, and ties between them go to the lowest neuron
-    instead of following the order in which partial sums arrived.
+    The neighbourhood is walked offset by offset, so memory follows the number of
+    neurons, not its square. With ``digits`` (None: off) weights keep so many digits after the
+    first: neurons whose weights agree in exact arithmetic then agree in fact, and ties
+    between them go to the lowest neuron instead of following the order in which
+    partial sums arrived.
     """
     counts = np.zeros(codebook.neurons)
     sums = np.zeros_like(codebook.weights)
     for r in stats:
         counts[r["neuron"]] = r["n"]
         sums[r["neuron"]] = r["sums"]
-    h = neighbourhood(grid_distance(codebook.rows, codebook.cols), sigma)
-    den = h @ counts
-    num = h @ sums
+    shape = (codebook.rows, codebook.cols)
+    counts, sums = counts.reshape(shape), sums.reshape(*shape, -1)
+    den, num = np.zeros(shape), np.zeros_like(sums)
+    for dr, dc, h in offsets(*shape, sigma):
+        to, source = zip(_overlap(dr, shape[0]), _overlap(dc, shape[1]))
+        den[to] += h * counts[source]
+        num[to] += h * sums[source]
+    den, num = den.ravel(), num.reshape(codebook.neurons, -1)
     target = np.divide(num, den[:, None], out=codebook.weights.copy(), where=den[:, None] > 0)
-    return Codebook(codebook.rows, codebook.cols, _significant(target))
+    return Codebook(codebook.rows, codebook.cols, target if digits is None else _significant(target, digits))
 
 
-def _significant(x: np.ndarray, digits: int = 12) -> np.ndarray:
+def offsets(rows: int, cols: int, sigma: float) -> list[tuple[int, int, float]]:
+    """Grid steps inside radius sigma with their neighbourhood value."""
+    reach = int(min(sigma, max(rows, cols)))
+    steps = [(dr, dc, dr * dr + dc * dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1)]
+    return [(dr, dc, math.exp(-g / (2 * sigma * sigma))) for dr, dc, g in steps if g <= sigma * sigma and abs(dr) < rows and abs(dc) < cols]
+
+
+def _overlap(step: int, size: int) -> tuple[slice, slice]:
+    """Where cells moved by ``step`` land, and where they come from."""
+    return slice(max(0, step), size + min(0, step)), slice(max(0, -step), size - max(0, step))
+
+
+def _significant(x: np.ndarray, digits: int) -> np.ndarray:
     size = np.abs(x)
     scale = 10.0 ** np.floor(np.log10(size, out=np.zeros_like(x), where=size > 0))
     return np.round(x / scale, digits) * scale
@@ -195,16 +215,19 @@ def update_table(stats: DataFrame, grid: DataFrame, sigma: float) -> DataFrame:
 
     ``grid`` holds (neuron, row, col, weights). Both sides have at most one row per neuron.
     """
-    s2 = sigma * sigma
-    cells = grid.select("neuron", "row", "col", F.posexplode("weights").alias("k", "w"))
-    won = stats.join(grid.select("neuron", "row", "col"), "neuron").select(
-        F.col("row").alias("r0"), F.col("col").alias("c0"), "n", F.posexplode("sums").alias("k", "s")
-    )
-    g = (F.col("row") - F.col("r0")) ** 2 + (F.col("col") - F.col("c0")) ** 2
-    near = cells.join(won, "k", "left").withColumn("h", F.when(g <= s2, F.exp(-g / (2 * s2))))
-    summed = near.groupBy("neuron", "row", "col", "k", "w").agg(
-        F.sum(F.col("h") * F.col("s")).alias("num"), F.sum(F.col("h") * F.col("n")).alias("den")
+    s2, reach = sigma * sigma, int(sigma)
+    near = [(dr, dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1) if dr * dr + dc * dc <= s2]
+    steps = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in near]))
+    # Only cells inside the radius are made, and they meet the grid by row and column.
+    won = stats.join(grid.select("neuron", "row", "col"), "neuron").select("row", "col", "n", "sums", steps.alias("d"))
+    g = F.col("d.dr") ** 2 + F.col("d.dc") ** 2
+    won = won.select(
+        (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col"), F.exp(-g / (2 * s2)).alias("h"), "n", "sums"
     )
+    shares = won.select("row", "col", (F.col("h") * F.col("n")).alias("hn"), "h", F.posexplode("sums").alias("k", "s"))
+    shares = shares.groupBy("row", "col", "k").agg(F.sum(F.col("h") * F.col("s")).alias("num"), F.sum("hn").alias("den"))
+    cells = grid.select("neuron", "row", "col", F.posexplode("weights").alias("k", "w"))
+    summed = cells.join(shares, ["row", "col", "k"], "left")
     return summed.select(
         "neuron", "row", "col", "k", F.when(F.col("den") > 0, F.col("num") / F.col("den")).otherwise(F.col("w")).alias("w")
     )
@@ -226,12 +249,16 @@ def train_som(
     subset_fraction: float | None = None,
     key: Sequence | None = None,
     merge_groups: int | None = None,
+    digits: int | None = 12,
 ) -> Codebook:
     """Train a map; one Spark action per iteration.
 
     With ``subset_fraction`` each iteration draws a fresh sample with replacement
-    by ``key``. Persist ``samples`` beforehand when they fit in cluster memory.
+    by ``key``, which must tell rows apart. ``digits`` rounds weights in every iteration (see
+    ``updated``). Persist ``samples`` beforehand when they fit in cluster memory.
     """
+    if subset_fraction is not None and not key:
+        raise ValueError("subset_fraction needs a key: equal vectors would share one draw")
     if init is None:
         if width is None:
             width = len(samples.select(features).first()[0])
@@ -241,6 +268,6 @@ def train_som(
         sigma = decayed(t, sigma_0, sigma_f, tau, smooth_iterations)
         drawn = samples
         if subset_fraction is not None:
-            drawn = sample_with_replacement(samples, key or [features], subset_fraction, seed + t)
-        codebook = updated(codebook, unit_sums(drawn, codebook, features, merge_groups).collect(), sigma)
+            drawn = sample_with_replacement(samples, key, subset_fraction, seed + t)
+        codebook = updated(codebook, unit_sums(drawn, codebook, features, merge_groups).collect(), sigma, digits)
     return codebook

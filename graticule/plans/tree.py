@@ -98,25 +98,39 @@ def train_trees(
     label: str = "label",
     features: str = "features",
     keep_rows: bool = True,
+    outright_rows: int | None = None,
 ) -> TreeModel:
     """Grow one tree per ``tree_id`` (a single tree when the column is absent).
 
     ``max_depth`` counts levels including leaves. ``search`` is ``exact`` or
     ``histogram`` (only cuts at value-range boundaries, from ``edges`` per feature
-    or estimated quantiles). ``impurity='variance'`` grows regression trees.
+    or of equal width between each feature's least and largest value over all rows).
+    Nodes above ``outright_rows`` (``OUTRIGHT_ROWS``) rows are searched in two passes, with equal results. ``impurity='variance'`` grows regression trees.
     ``keep_rows=False`` reads the source again in every pass instead of persisting it.
     """
     if search not in ("exact", "histogram"):
         raise ValueError("search must be 'exact' or 'histogram'")
-    spark = rows.sparkSession
     tree = F.col("tree_id").cast("int") if "tree_id" in rows.columns else F.lit(0)
     rows = rows.select(
         tree.alias("tree_id"),
         F.col(features).cast("array<double>").alias("features"),
         F.col(label).cast("double").alias("y"),
     )
-    if keep_rows:
-        rows = rows.persist()
+    options = (max_depth, min_samples, impurity, min_gain, search, edges, OUTRIGHT_ROWS if outright_rows is None else outright_rows)
+    if not keep_rows:
+        return _grow(rows, *options)
+    rows = rows.persist()
+    try:
+        return _grow(rows, *options)
+    finally:
+        rows.unpersist()
+
+
+def _grow(
+    rows: DataFrame, max_depth: int, min_samples: int, impurity: str, min_gain: float | None, search: str,
+    edges: Sequence[Sequence[float]] | None, outright_rows: int,
+) -> TreeModel:
+    spark = rows.sparkSession
     totals = rows.groupBy("tree_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("y").alias("labelled"),
@@ -126,7 +140,6 @@ def train_trees(
         F.max("y").alias("y_max"),
     ).collect()
     if not totals:
-        rows.unpersist()
         return TreeModel()
     if any(t["labelled"] < t["n"] for t in totals):
         raise ValueError("every training row needs a label")
@@ -136,12 +149,12 @@ def train_trees(
         raise ValueError("labels must be 0 or 1")
 
     bits, cuts = 0, [np.empty(0)] * width
-    if edges is None and (search == "histogram" or max(t["n"] for t in totals) > OUTRIGHT_ROWS):
+    if edges is None and (search == "histogram" or max(t["n"] for t in totals) > outright_rows):
         count = sum(t["n"] for t in totals)
         bits = min(int(math.log2(MAX_RANGES)), max(5, math.ceil(math.log2(count / ROWS_PER_RANGE))))
         names = [f"f{i}" for i in range(width)]
         wide = rows.select(*[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
-        edges = range_edges(wide, names, 1 << bits, count)
+        edges = _even_edges(wide, names, 1 << bits) if search == "histogram" else range_edges(wide, names, 1 << bits, count)
     if edges is not None:
         cuts = [np.array(e, np.float64) for e in edges]
         bits = max(1, math.ceil(math.log2(max(len(e) for e in cuts) + 1)))
@@ -149,7 +162,7 @@ def train_trees(
     def shift_of(n: int) -> int:
         if search == "histogram":
             return 0
-        if n <= OUTRIGHT_ROWS:
+        if n <= outright_rows:
             return bits
         return max(0, bits - int(math.log2(n / ROWS_PER_RANGE)))
 
@@ -200,17 +213,32 @@ def train_trees(
             flat = impurity == "variance" and worth <= 1e-12 * max(1.0, (r.s / r.n) ** 2)
             if flat or (min_gain is not None and worth < min_gain):
                 continue
-            middle = (value + next_value) / 2
+            middle = between(value, next_value)
             nodes[j] = r._replace(is_split=True, feature=feature, threshold=middle, criterion=score)
             active[r.tree_id, 2 * r.node] = (n_left, s_left)
             active[r.tree_id, 2 * r.node + 1] = (r.n - n_left, r.s - s_left)
         if not active:
             break
-    if keep_rows:
-        rows.unpersist()
     return TreeModel(nodes)
 
 
+def _even_edges(wide: DataFrame, names: list[str], ranges: int) -> list[list[float]]:
+    """Inner edges of equal width; they are candidate thresholds, so they follow from all rows and nothing else."""
+    found = wide.agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]).first()
+    out = []
+    for n in names:
+        lo, hi = found[f"lo_{n}"], found[f"hi_{n}"]
+        inner = np.linspace(lo, hi, ranges + 1)[1:-1] if lo is not None and lo < hi else np.empty(0)
+        out.append(sorted({float(e) for e in inner if lo <= e < hi}))
+    return out
+
+
+def between(value: float, next_value: float) -> float:
+    """Threshold that keeps ``value`` left and ``next_value`` right: their middle, or ``value`` where that rounds up to the next."""
+    middle = (value + next_value) / 2
+    return middle if value <= middle < next_value else value
+
+
 def stop_node(model: TreeModel, features: Column | str = "features", tree_id: Column | str = "tree_id") -> Column:
     """Index into ``model.nodes`` of the leaf each row reaches in the tree ``tree_id`` names.
 

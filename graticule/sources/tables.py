@@ -56,7 +56,3 @@ def uniform_vectors(df: DataFrame, key: str, width: int, seed: int = 0) -> DataF
 
 def uniform_table(spark: SparkSession, rows: int, width: int, seed: int = 0, partitions: int = 10) -> DataFrame:
     return uniform_vectors(spark.range(0, rows, 1, partitions), "id", width, seed)
-
-
-def pack_vectors(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    return df.select(*keep, F.array(*[F.col(c).cast("double") for c in names]).alias("features"))
