@@ -25,6 +25,10 @@ LINES = (
     "(SELECT l_orderkey, l_linenumber::BIGINT AS line, [l_quantity, l_extendedprice, l_discount, l_tax] AS x, "
     "(l_returnflag = 'R')::INTEGER AS y FROM lineitem)"
 )
+SIGNAL = (
+    "(SELECT l_orderkey, l_linenumber::BIGINT AS line, [l_quantity, l_extendedprice, l_discount, l_tax] AS x, "
+    "((l_quantity > 25) <> (l_orderkey % 7 = 0))::INTEGER AS y FROM lineitem)"
+)
 ORDERS = (
     "(SELECT o_orderkey, [o_totalprice, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE] AS x, "
     "(o_orderstatus = 'F')::INTEGER AS y FROM orders)"
@@ -126,7 +130,7 @@ def _roc(rows: str) -> str:
 
 def _held_out() -> str:
     """CTEs ``nodes`` (five levels on the 70 % part) and ``reached`` counts of the rest."""
-    marked = hashed(LINES, ["l_orderkey", "line"], "6")
+    marked = hashed(SIGNAL, ["l_orderkey", "line"], "6")
     return (
         f"marked AS (SELECT row_number() OVER () AS id, 0 AS tree_id, x, y, {group_of('h', 100)} < 70 AS is_train FROM {marked}),\n"
         "train AS (SELECT * FROM marked WHERE is_train), test AS (SELECT * FROM marked WHERE NOT is_train),\n"
@@ -381,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "decision_tree": _tree(LINES, 4, 4),
         "decision_tree_min_samples": _tree(ORDERS, 2, 5, min_samples=200),
         "decision_tree_entropy": _tree(ORDERS, 2, 3, kind="entropy"),
-        "decision_tree_min_gain": _tree(LINES, 4, 4, min_gain=0.0002),
+        "decision_tree_min_gain": _tree(SIGNAL, 4, 4, min_gain=0.0005),
         "regression_tree": _tree("(SELECT [l_quantity, l_discount, l_tax] AS x, l_linenumber AS y FROM lineitem)", 3, 4, kind="variance"),
         "histogram_tree": _tree(LINES, 4, 4, edges=LINE_EDGES),
         "text_quality_tree": f"WITH {_text_features()},\nbase AS (SELECT 0 AS tree_id, list_concat(list_concat(word_freqs, char_freqs), "
