@@ -143,7 +143,8 @@ _EDIT = "array<struct<start:int,length:int,text:string>>"
 
 
 #: What ``masks`` replaces: mail addresses and numbers of six digits or more.
-PRIVATE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9]{6,}"
+#: The look-behind starts a try only where a name starts, so a long run is read once.
+PRIVATE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9]{6,}"
 MARK = "[masked]"
 
 
