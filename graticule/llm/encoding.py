@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graticule.session import written
@@ -82,6 +82,15 @@ def _phrase_places(padded: Column, phrase: str) -> Column:
     return F.when(F.contains(padded, F.lit(f" {phrase} ")), walked).otherwise(F.array().cast("array<long>"))
 
 
+def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A broadcast table of the parameter's rows, written into the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    lit = lambda v: F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
+    structs = [F.struct(*[lit(v).alias(n) for n, v in zip(names, r)]) for r in rows]
+    table = F.array(*structs) if structs else F.array().cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
+    return F.broadcast(spark.range(1).select(F.inline(table)))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """Notices of every row (see the module's notes)."""
     spark = docs.sparkSession
@@ -118,9 +127,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
         ordered = sorted(words, key=rank.get)
         members.append((i, label, ordered, need[i], len(ordered)))
         firsts += [(w, i, len(ordered) - at) for at, w in enumerate(ordered[: len(ordered) - need[i] + 1])]
-    ranks = F.broadcast(spark.createDataFrame([(w, r) for w, r in rank.items()], "word string, rank int"))
-    prefix = F.broadcast(spark.createDataFrame(firsts, "word string, template int, rest_t int"))
-    whole = F.broadcast(spark.createDataFrame(members, "template int, label string, members array<string>, need int, t int"))
+    ranks = _literal_table(spark, list(rank.items()), "word string, rank int")
+    prefix = _literal_table(spark, firsts, "word string, template int, rest_t int")
+    whole = _literal_table(spark, members, "template int, label string, members array<string>, need int, t int")
 
     ordered = exploded.select("uid", "block", F.explode("words").alias("word")).join(ranks, "word").groupBy("uid", "block").agg(
         F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ws")

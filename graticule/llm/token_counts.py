@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from graticule.llm import words as W
 
 LEAF = 64
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def rank_path(name: str = "byte_bpe_50k.tiktoken") -> str:
