@@ -22,6 +22,7 @@ from graticule.plans.forest import predict_forest, train_forest  # noqa: E402
 from graticule.plans.som import train_som  # noqa: E402
 from graticule.plans.tree import train_trees  # noqa: E402
 from graticule.session import build_session  # noqa: E402
+from graticule.sources.tables import uniform_table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -73,6 +74,11 @@ def main() -> None:
     timed("forest_accuracy", lambda: E.accuracy(predict_forest(raw, forest)).collect())
     faces = catalog.embedding_samples(spark, SF_DIR).repartition(cores).persist()
     timed("som_5x6_embeddings_10_iterations", lambda: train_som(faces, 5, 6, 10, width=64, sigma_0=3.0, tau=50.0, seed=2))
+    # The published map size on as many uniform rows as one of its data points: 1 M x 18.
+    uniform = uniform_table(spark, 1_000_000, 18, seed=1, partitions=cores).persist()
+    uniform.count()
+    timed("som_8x7_uniform_1m_18_10_iterations", lambda: train_som(uniform, 8, 7, 10, width=18, sigma_0=4.0, tau=10.0, seed=1))
+    uniform.unpersist()
     for name in (
         "standard_scale", "attribute_profile", "prefix_sum_by_row", "stable_partition", "gather", "poisson_sample",
         "word_frequencies", "char_frequencies", "capital_runs", "incremental_som", "value_roc",
