@@ -2,8 +2,10 @@
 
 Each round points every node's larger neighbours at its least neighbour, then every
 node and its smaller neighbours at the least of them. Rounds are written to the shared
-folder, so plans stay short and a lost executor costs one round. A node with many
-links is a skewed join key on one side only, which adaptive execution splits.
+folder, so plans stay short and a lost executor costs one round. Only pairs of keys
+move. A node's least neighbour is found by partial sums, but the links of one node meet
+in one task when it is attached to them, so callers hand in few links per node where
+they can (one per member of a group).
 """
 
 from __future__ import annotations
