@@ -2,9 +2,13 @@
 
 Base: the places where a phrase's words stand consecutively.
 
-Method: a block is a line of a text, as the set of its words. A template matches a block
-that holds at least ``containment`` of the template's words, whatever their order and
-however many other words stand between. The join is exact:
+Method: a block is a stretch of a text, as the set of its words. With ``n`` twice the words
+of the longest template, the stretches are the windows of ``2 n`` words that start at every
+``n``-th word, and the lines of up to ``2 n`` words. So a notice spread over at most ``n``
+words is compared whole, wherever line feeds stand, and words scattered over more than
+``2 n`` words of a text do not make up a notice. A template matches a block that holds at
+least ``containment`` of the template's words, whatever their order and whatever stands
+between. The join is exact:
 
 1. One pass turns every block into the set of its words that occur in any template; no
    other word can count. Blocks with fewer such words than the easiest template needs
@@ -102,12 +106,18 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
 
     text = lowered(F.coalesce("text", F.lit("")))
     known = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    lines = F.transform(
-        F.split(text, "\n"), lambda x: F.array_intersect(F.split(x, _GAP), known) if vocabulary else F.array().cast("array<string>")
-    )
-    blocks = F.filter(lines, lambda b: F.size(b) >= least)
+    n = 2 * max((len(words.split()) for _, words in templates), default=1)
+    words_of = lambda x: F.filter(F.split(x, _GAP), lambda w: w != "")
+    shared_of = lambda x: F.array_intersect(x, known) if vocabulary else F.array().cast("array<string>")
     padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _GAP, " ")), F.lit(" "))
-    read = docs.select(F.col("doc_id").cast("long"), blocks.alias("blocks"), padded.alias("padded"))
+    parts = docs.select(F.col("doc_id").cast("long"), text.alias("text"), padded.alias("padded"), F.split(F.trim(padded), " ").alias("ws"))
+    windows = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("ws") - n, F.lit(1)), F.lit(n)), lambda i: shared_of(F.slice("ws", i, 2 * n))
+    )
+    # A line of up to n words lies in a window.
+    lines = F.filter(F.transform(F.split("text", "\n"), words_of), lambda x: (F.size(x) > n) & (F.size(x) <= 2 * n))
+    blocks = F.filter(F.concat(windows, F.transform(lines, shared_of)), lambda b: F.size(b) >= least)
+    read = parts.select("doc_id", blocks.alias("blocks"), "padded")
     places = read.select(
         "doc_id", "blocks",
         F.when(F.col("padded") == "  ", F.lit(0)).otherwise(

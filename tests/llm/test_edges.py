@@ -129,3 +129,20 @@ def test_stages(spark, docs, labels, tmp_path, name):
         assert kept.count((1, "word0 w")) == 1 and (None, "word0 w") not in kept and len(kept) == 9
     if name == "repeated passages":
         assert sorted((r["doc_id"] or 0, r["text"]) for r in out.where("text like '%tail'").collect()) == [(0, "tail")]
+
+
+def test_wrapped_licences_are_compared_whole(spark):
+    bsd = "redistribution and use in source and binary forms with or without modification are permitted"
+    wrapped = [
+        (1, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"),
+        (2, "you can redistribute it and/or modify\nit under the terms of the GNU General Public License"),
+        (3, "This work is licensed under a Creative Commons\nAttribution 4.0 License"),
+        (4, " # ".join(f"w{i} {w}\n" for i, w in enumerate(bsd.split()))),
+        (5, (" x" * 400).join(bsd.split())),
+        (6, "y " * 27 + " y y y ".join(bsd.split())),
+    ]
+    # Over every place at which windows can cut.
+    wrapped += [(100 + i, "z " * i + bsd.replace(" or ", "\nor ") + " z" * 90) for i in range(0, 80, 3)]
+    found = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(wrapped, "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(1, 7)] == ["bsd", "gpl", "cc-by", "bsd", "", "bsd"]
+    assert {found[i] for i in found if i >= 100} == {"bsd"}
