@@ -10,7 +10,7 @@ model held by the driver, and shuffles only aggregates.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions.dense import FlatTrees, matrix
 from graticule.functions.impurity import gain
-from graticule.operators.scans import range_edges
+from graticule.operators.scans import range_edges, running_sums
 from graticule.operators.splits import Level, boundary_splits, bounded_splits, outright_splits
 from graticule.session import BROADCAST_ROWS, check_model_size, small_side
 
@@ -104,7 +104,7 @@ def train_trees(
 
     ``max_depth`` counts levels including leaves. ``search`` is ``exact`` or
     ``histogram`` (only cuts at value-range boundaries, from ``edges`` per feature
-    or of equal width between each feature's least and largest value over all rows).
+    or at exact quantile ranks of each feature over all rows).
     Nodes above ``outright_rows`` (``OUTRIGHT_ROWS``) rows are searched in two passes, with equal results. ``impurity='variance'`` grows regression trees.
     ``keep_rows=False`` reads the source again in every pass instead of persisting it.
     """
@@ -152,9 +152,12 @@ def _grow(
     if edges is None and (search == "histogram" or max(t["n"] for t in totals) > outright_rows):
         count = sum(t["n"] for t in totals)
         bits = min(int(math.log2(MAX_RANGES)), max(5, math.ceil(math.log2(count / ROWS_PER_RANGE))))
-        names = [f"f{i}" for i in range(width)]
-        wide = rows.select(*[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
-        edges = _even_edges(wide, names, 1 << bits) if search == "histogram" else range_edges(wide, names, 1 << bits, count)
+        if search == "histogram":
+            edges = rank_edges(rows, width, 1 << bits)
+        else:
+            names = [f"f{i}" for i in range(width)]
+            wide = rows.select(*[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
+            edges = range_edges(wide, names, 1 << bits, count)
     if edges is not None:
         cuts = [np.array(e, np.float64) for e in edges]
         bits = max(1, math.ceil(math.log2(max(len(e) for e in cuts) + 1)))
@@ -222,15 +225,45 @@ def _grow(
     return TreeModel(nodes)
 
 
-def _even_edges(wide: DataFrame, names: list[str], ranges: int) -> list[list[float]]:
-    """Inner edges of equal width; they are candidate thresholds, so they follow from all rows and nothing else."""
-    found = wide.agg(*[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]).first()
-    out = []
-    for n in names:
-        lo, hi = found[f"lo_{n}"], found[f"hi_{n}"]
-        inner = np.linspace(lo, hi, ranges + 1)[1:-1] if lo is not None and lo < hi else np.empty(0)
-        out.append(sorted({float(e) for e in inner if lo <= e < hi}))
-    return out
+def rank_edges(rows: DataFrame, width: int, ranges: int) -> list[list[float]]:
+    """Inner edges at the values of ranks ``k n / ranges`` of each feature, and the value after one that fills a whole range.
+
+    They are candidate thresholds, so they follow from all rows and nothing else. Values
+    from an edge up to the next share a range: a heavy value is parted from both sides.
+    """
+    entries = rows.select(F.posexplode("features").alias("feature", "value")).where("value is not null and not isnan(value)")
+    counts = entries.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c")).persist()
+    try:
+        upto = running_sums(counts, {"upto": "c"}, ["value"], ["feature"], totals={"n": "c"})
+        crossed = upto.where(f"least(upto * {ranges} div n, {ranges - 1}) > (upto - c) * {ranges} div n")
+        at = [[] for _ in range(width)]
+        for feature, value, heavy in crossed.selectExpr("feature", "value", f"c * {ranges} >= n").collect():  # below `ranges` a feature
+            at[feature].append((value, heavy))
+        edges = [np.array([v for v, _ in sorted(a)], np.float64) for a in at]
+        heavy = [np.array([h for _, h in sorted(a)], bool) for a in at]
+        if not any(h.any() for h in heavy):
+            return [e.tolist() for e in edges]
+
+        def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                feature, value = (batch.column(c).to_numpy() for c in ("feature", "value"))
+                for f in np.unique(feature):
+                    if not len(edges[f]):
+                        continue
+                    v = np.sort(value[feature == f])
+                    last = np.searchsorted(edges[f], v, side="right") - 1
+                    keep = (last >= 0) & heavy[f][last] & (edges[f][last] < v)
+                    v, (last, first) = v[keep], np.unique(last[keep], return_index=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(last), f), pa.int32()), pa.array(last, pa.int32()), pa.array(v[first], pa.float64())], ["feature", "edge", "value"]
+                    )
+
+        next_values = counts.select("feature", "value").mapInArrow(after, "feature int, edge int, value double")
+        found = next_values.groupBy("feature", "edge").agg(F.min("value").alias("value")).collect()
+    finally:
+        counts.unpersist()
+    extra = [[r["value"] for r in found if r["feature"] == f] for f in range(width)]
+    return [sorted({*e.tolist(), *x}) for e, x in zip(edges, extra)]
 
 
 def between(value: float, next_value: float) -> float:

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from graticule.operators import sampling
 from graticule.operators.prepare import complete
 from graticule.plans.forest import votes, votes_expression
 from graticule.plans.som import Codebook, train_som, updated
-from graticule.plans.tree import between, predict, train_trees
+from graticule.plans.tree import between, predict, rank_edges, train_trees
 from graticule.sources.tables import from_rows
 from graticule.streaming.incremental_som import IncrementalSom, snapshot_path
 
@@ -48,6 +49,30 @@ def test_histogram_trees_do_not_depend_on_partitioning(spark):
     assert a == b and a[0].is_split
 
 
+def test_histogram_edges_are_exact_quantile_ranks(spark):
+    con = duckdb.connect()
+    values = con.execute("SELECT l_extendedprice::DOUBLE FROM '/root/testdata/sf0.001/lineitem.parquet' ORDER BY 1").fetchall()
+    rows = from_rows(spark, values)
+    wanted = con.execute(
+        "SELECT DISTINCT v FROM (SELECT l_extendedprice::DOUBLE AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n"
+        " FROM '/root/testdata/sf0.001/lineitem.parquet'), range(1, 32) t(k) WHERE r = (k * n + 31) // 32 ORDER BY v"
+    ).fetchall()
+    a, b = (rank_edges(rows.repartition(n), 1, 32) for n in (1, 16))
+    assert a == b == [[v for v, in wanted]]
+
+
+def test_histogram_trees_with_outliers_and_heavy_values(spark):
+    far = spark.range(4000).select(
+        F.array(F.when(F.col("id") == 0, 1e9).otherwise(F.col("id") % 50 / 1.0)).alias("features"), (F.col("id") % 50 < 20).cast("int").alias("label")
+    )
+    root = train_trees(far, max_depth=2, search="histogram").nodes[0]
+    assert root.is_split and root.threshold == 19.5
+    for rare, often in ((0.0, 1.0), (1.0, 0.0)):
+        heavy = spark.range(4000).select(F.array(F.when(F.col("id") < 4, rare).otherwise(often)).alias("features"), (F.col("id") < 4).cast("int").alias("label"))
+        root = train_trees(heavy, max_depth=2, search="histogram").nodes[0]
+        assert root.is_split and root.threshold == 0.5
+
+
 def test_subsets_need_a_key(spark):
     with pytest.raises(ValueError, match="key"):
         train_som(from_rows(spark, [[1.0]]), 1, 2, 1, width=1, subset_fraction=0.5)
