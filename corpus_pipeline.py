@@ -24,9 +24,9 @@ def _match(docs: DataFrame, keys: DataFrame):
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules, certified together, reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = _keys(quality_rules.judge(docs, labels).where("not kept"), "rejected")
+    rejected = _keys(quality_rules.judge(docs, labels, joint=True).where("not kept"), "rejected")
     return docs.join(rejected, _match(docs, rejected), "left_anti")
 
 

@@ -146,3 +146,16 @@ def test_wrapped_licences_are_compared_whole(spark):
     found = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(wrapped, "doc_id long, text string")).collect()}
     assert [found[i] for i in range(1, 7)] == ["bsd", "gpl", "cc-by", "bsd", "", "bsd"]
     assert {found[i] for i in found if i >= 100} == {"bsd"}
+
+
+def test_quality_stage_certifies_rules_together(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, text, lang) for lang, first in (("en", 0), ("de", 1000), ("fr", 2000), ("es", 3000)) for i in range(first, first + 217)]
+    rows += [(5000, text + " " + "#" * 150, "de"), (5001, text.upper(), "fr"), (5002, text + " " + "#" * 150, "it")]
+    spark.createDataFrame([(r[0], 1, 0) for r in rows if r[0] < 5000], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), str(tmp_path)).collect()}
+    assert left == {r[0] for r in rows} - {5000, 5001}
+    # One label fewer certifies nothing at this confidence.
+    measured = quality_rules.measures(spark.createDataFrame(rows[1:], "doc_id long, text string, lang string"))
+    limits = {r["stratum"]: r["max_symbols"] for r in quality_rules.cutoffs(measured, spark.read.parquet(f"{tmp_path}/labels.parquet"), joint=True).collect()}
+    assert limits == {"en": None, "de": 0.08, "fr": 0.08, "es": 0.08}
