@@ -1,12 +1,13 @@
 """SQL that DuckDB runs on the same tables, for the queries that SQL can express.
 
-Left out, and compared with brute force in the tests instead: role repair (dynamic
-programming), URL verdicts (folds by a hash that DuckDB lacks), packing and token counts
+Left out, and compared with brute force in the tests instead: role and structure repair (dynamic
+programming, search), URL verdicts (folds by a hash that DuckDB lacks), packing and token counts
 (tokenizer ids), mixing (order by the same hash).
 """
 
 from __future__ import annotations
 
+from graticule.llm.collocations import BEST, SUPPORT
 from graticule.llm.license_scan import CONTAINMENT, PHRASES, TEMPLATES
 from graticule.llm.quality_rules import CUTOFFS, ERROR, FALSE_REJECTIONS
 
@@ -127,8 +128,38 @@ def _passages() -> str:
     """
 
 
+def _equal_texts() -> str:
+    return """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+    """
+
+
+def _collocations() -> str:
+    return rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    g AS (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda m: list_transform(range(0, greatest(len(ws) - m + 1, 0)), lambda i: list_slice(ws, i + 1, i + m))))) AS ph FROM w),
+    n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+    f AS (SELECT lang, ph, count(*) AS f FROM g GROUP BY lang, ph HAVING count(*) >= {SUPPORT}),
+    c AS (SELECT * FROM f WHERE len(ph) > 1),
+    cuts AS (SELECT lang, ph, f AS a, unnest(range(1, len(ph))) AS k FROM c),
+    s AS (SELECT cuts.lang, cuts.ph, a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+          FROM cuts JOIN n ON n.lang = cuts.lang JOIN f l ON l.lang = cuts.lang AND l.ph = cuts.ph[1:k] JOIN f r ON r.lang = cuts.lang AND r.ph = cuts.ph[k + 1:]),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+    parts AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len(ph)), lambda m: list_transform(range(0, len(ph) - m + 1), lambda i: list_slice(ph, i + 1, i + m))))) AS ph FROM c),
+    longer AS (SELECT lang, ph, max(f) AS f FROM parts GROUP BY lang, ph),
+    kept AS (SELECT best.lang, array_to_string(best.ph, ' ') AS phrase, a, l, r, n, score FROM best LEFT JOIN longer ON best.lang = longer.lang AND best.ph = longer.ph
+             WHERE longer.f IS NULL OR 100 * longer.f < 100 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM kept QUALIFY rank <= {BEST}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": _quality(), "op2_license_scan": _licences(), "op3_embedding_dedup": _embeddings(),
-        "op6_minhash_dedup": _near_duplicates(), "op7_substring_dedup": _passages(),
+        "op6_minhash_dedup": _near_duplicates(), "op7_substring_dedup": _passages(), "op11_exact_dedup": _equal_texts(),
+        "op12_collocations": _collocations(),
     }

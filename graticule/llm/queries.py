@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graticule.llm import (
-    best_fit_packing, chat_format, embedding_dedup, license_scan, minhash_dedup, quality_rules, source_mixing, substring_dedup,
-    token_counts, url_filter,
+    best_fit_packing, chat_format, collocations, embedding_dedup, exact_dedup, license_scan, minhash_dedup, quality_rules, source_mixing,
+    structure_repair, substring_dedup, token_counts, url_filter,
 )
 
 
@@ -66,7 +66,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited(table(spark, sf_dir, "documents"), token_counts.masks)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after rows were damaged."""
+    turns = table(spark, sf_dir, "conversations")
+    return structure_repair.audit(turns, structure_repair.damaged(turns))
+
+
 QUERIES = [
     op1_quality_rules, op2_license_scan, op3_embedding_dedup, op4_chat_format, op5_url_filter, op6_minhash_dedup, op7_substring_dedup,
-    op8_best_fit_packing, op9_source_mixing, op10_token_counts,
+    op8_best_fit_packing, op9_source_mixing, op10_token_counts, op11_exact_dedup, op12_collocations, op13_structure_repair,
 ]
