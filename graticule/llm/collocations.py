@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -61,40 +62,32 @@ PHRASES = "lang string, phrase string, width int, h long, n long"
 
 
 class Shard:
-    """The words of some texts: number of each word, language and whether it opens a piece."""
+    """The words of some texts: number of each word in the shard's vocabulary, language, and whether it opens a piece."""
 
     def __init__(self, parts: list[tuple]):
-        """``parts`` hold texts of one language each: (language, words as bytes, hashes, opens a piece)."""
-        self.langs = sorted({p[0] for p in parts})
-        code = {lang: i for i, lang in enumerate(self.langs)}
-        hashes = np.concatenate([p[2] for p in parts])
+        """``parts`` are chunks of texts: hashes and spelling of their words, numbers into these, openings, and (language, words) runs."""
+        hashes = np.concatenate([p[0] for p in parts])
+        number, self.vocabulary_hashes, first = numbered(hashes)
+        self.vocabulary = pa.concat_arrays([p[1] for p in parts]).take(pa.array(first)).cast(pa.string())
+        base = np.cumsum([0, *[len(p[0]) for p in parts]])
+        self.word = np.concatenate([number[b + p[2]] for b, p in zip(base, parts)])
         self.opens = np.concatenate([p[3] for p in parts])
-        self.lang = np.repeat(np.array([code[p[0]] for p in parts], np.int64), [len(p[2]) for p in parts])
-        self.salts = np.array([W.mix(np.array([hash_of(lang)], np.uint64))[0] for lang in self.langs], np.uint64)
-        self.hash = hashes
-        self._parts, self._ends = parts, np.cumsum([len(p[2]) for p in parts])
+        runs = [r for p in parts for r in p[4]]
+        self.langs = sorted({lang for lang, _ in runs})
+        code = {lang: i for i, lang in enumerate(self.langs)}
+        self.lang = np.repeat(np.array([code[lang] for lang, _ in runs], np.int32), [n for _, n in runs])
+        self.salts = W.mix(np.array([hash_of(lang) for lang in self.langs], np.uint64))
         self.sizes = np.bincount(self.lang, minlength=len(self.langs))
 
     def spelled(self, at: np.ndarray) -> pa.Array:
         """Words at these places."""
-        part = np.searchsorted(self._ends, at, side="right")
-        base = np.concatenate([[0], self._ends])
-        out = []
-        for p, i in zip(part.tolist(), (at - base[part]).tolist()):
-            data, starts, ends = self._parts[p][1]
-            out.append(data[starts[i] : ends[i]].decode())
-        return pa.array(out, pa.string())
-
-    def groups(self, start: np.ndarray, key: np.ndarray):
-        """Distinct (language, key) of phrases starting at ``start``: number of each start's group, first start and size of each group."""
-        _, first, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return number, start[first], count
+        return self.vocabulary.take(pa.array(self.word[at]))
 
     def hashed(self, start: np.ndarray, width: int) -> np.ndarray:
         """Hash of the phrase of ``width`` words at each start, equal in every shard."""
         out = self.salts[self.lang[start]]
         for j in range(width):
-            out = out + self.hash[start + j] * _TIMES[j]
+            out += self.vocabulary_hashes[self.word[start + j]] * _TIMES[j]
         return W.mix(out)
 
 
@@ -110,52 +103,75 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[Shard
     parts, held, totals = [], 0, {}
     for batch in W.chunks(batches):
         data, offs = W.texts_of(batch.column("text"))
-        plain = _PLAIN[data]
-        cuts = np.concatenate([[0], np.cumsum(_CUTS[plain])])
-        starts, ends, hashes, first = W.words_in(plain, offs, lower=True)
-        opens = np.ones(len(starts), bool)
-        opens[1:] = cuts[starts[1:]] > cuts[ends[:-1]]
-        opens[first[:-1][first[:-1] < len(starts)]] = True
-        lower = W._LOWER[plain].tobytes()
         names = batch.column("lang").to_pylist()
         if batch.schema.get_field_index("total") >= 0:
             totals.update(zip(names, batch.column("total").to_pylist()))
-        # Runs of texts of one language.
-        edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-        for a, b in zip(edges, edges[1:]):
-            i, j = first[a], first[b]
-            if j > i:
-                parts.append((names[a], (lower, starts[i:j], ends[i:j]), hashes[i:j], opens[i:j]))
+        part = _part(data, offs, names)
+        if part:
+            parts.append(part)
         held += len(data)
-        if held >= size:
-            if parts:
-                yield Shard(parts), totals
+        if held >= size and parts:
+            yield Shard(parts), totals
             parts, held = [], 0
     if parts:
         yield Shard(parts), totals
 
 
+def _part(data: np.ndarray, offs: np.ndarray, names: list[str]) -> tuple | None:
+    """One chunk of texts for a shard: only its distinct words are kept as text."""
+    plain = _PLAIN[data]
+    starts, ends, hashes, first = W.words_in(plain, offs, lower=True)
+    if not len(starts):
+        return None
+    # The first word behind a cut or at the start of a text opens a piece.
+    opens = np.zeros(len(starts) + 1, bool)
+    opens[np.searchsorted(starts, np.flatnonzero(_CUTS[plain]))] = True
+    opens[first] = True
+    number, distinct, at = numbered(hashes)
+    sizes = ends[at] - starts[at]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    spelled = W.folded(plain[np.arange(offsets[-1]) + np.repeat(starts[at] - offsets[:-1], sizes)])
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(spelled)])
+    # Runs of texts of one language.
+    edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+    runs = [(names[a], int(first[b] - first[a])) for a, b in zip(edges, edges[1:])]
+    return distinct, words, number, opens[:-1], [r for r in runs if r[1]]
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each key by first appearance, the distinct keys and where they first stand."""
+    number, distinct = pd.factorize(keys)
+    number = number.astype(np.int32)
+    most = np.maximum.accumulate(number) if len(number) else number
+    return number, distinct, np.flatnonzero(np.diff(most, prepend=-1))
+
+
+def groups(start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct keys: number at each start, first start and how often each stands."""
+    number, distinct, first = numbered(key)
+    return number, start[first], np.bincount(number, minlength=len(distinct))
+
+
 def grown(shard: Shard, allowed: list[np.ndarray | None], longest: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(width, first start, count)`` of the shard's distinct phrases, width by width.
+    """``(width, some start, count)`` of the shard's distinct phrases, width by width.
 
     ``allowed[w]`` is a bit table that all parts of ``w`` words must be in (None: no such test);
     ``keep(width, first, count)`` says which phrases may grow further.
     """
-    start = np.arange(len(shard.hash))
-    key = shard.hash ^ shard.salts[shard.lang]
-    number, first, count = shard.groups(start, key)
+    n = len(shard.word)
+    start = np.arange(n, dtype=np.int32)
+    number, first, count = groups(start, shard.lang.astype(np.int64) << 32 | shard.word)
     for width in range(1, longest + 1):
         if width > 1:
             # Both parts of width - 1 words live on, and the new word goes on the piece.
-            number_at = np.full(len(shard.hash), -1, np.int64)
+            number_at = np.full(n, -1, np.int32)
             number_at[start] = number
-            going = start[start + width - 1 < len(shard.hash)]
-            going = going[(number_at[going + 1] >= 0) & ~shard.opens[going + width - 1]]
-            # Parts of width - 1 words at a start and one further on fix the phrase, and are below 2^31 in number.
-            start, key = going, number_at[going] << 32 | number_at[going + 1]
+            going = start[start + width - 1 < n]
+            start = going[(number_at[going + 1] >= 0) & ~shard.opens[going + width - 1]]
             if not len(start):
                 return
-            number, first, count = shard.groups(start, key)
+            # The parts at a start and one word further on fix the phrase.
+            number, first, count = groups(start, number_at[start].astype(np.int64) << 32 | number_at[start + 1])
         held = np.ones(len(first), bool)
         if width < len(allowed) and allowed[width] is not None:
             held &= contains(allowed[width], shard.hashed(first, width))
@@ -163,7 +179,7 @@ def grown(shard: Shard, allowed: list[np.ndarray | None], longest: int, keep) ->
         if not held.any():
             return
         yield width, first[held], count[held]
-        renumber = np.cumsum(held) - 1
+        renumber = np.cumsum(held, dtype=np.int32) - 1
         inside = held[number]
         start, number = start[inside], renumber[number[inside]]
 

@@ -36,6 +36,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lower-cased."""
+    return _LOWER[data]
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null is an empty text."""
     column = column.cast(pa.large_string())
