@@ -4,18 +4,19 @@ A phrase that occurs ``support`` times in a language occurs at least ``support *
 some shard that holds a share ``w`` of the language's words. So:
 
 1. Words are counted exactly per language; rarer ones than ``support`` cannot be part of
-   a phrase and cut the texts (a phrase is at most as frequent as its parts).
-2. Each shard (the texts of about ``SHARD_BYTES`` that follow each other in a task) is
-   mined completely: every phrase whose count reaches the support lowered to the shard's
-   share of the language is locally frequent. Longer phrases grow only from locally
-   frequent shorter ones. The union of all shards' phrases are the candidates.
+   a phrase (a phrase is at most as frequent as its parts).
+2. Each shard (texts of about ``SHARD_BYTES`` that follow each other in a task) is mined
+   completely: every phrase is locally frequent whose count exceeds half of the support
+   lowered to the shard's share of the language. Longer phrases grow only from locally frequent
+   shorter ones. A shard reports a hash of the phrase and by how much it exceeds that
+   half; as the halves add up to ``support / 2`` over all shards, a phrase can be frequent only if
+   its reported excesses add up to the other half. These are the candidates.
 3. All candidates are counted in all texts: each shard adds up its own, the sums are
    grouped by language and phrase as written, and those below ``support`` go.
 
 2 and 3 are done for phrases of two words, then for longer ones, which must consist of
-frequent pairs. In a language of more than ``support`` shards the lowered support is below
-one, every phrase of a shard is locally frequent, and step 2 is left out for it because
-its result is known: the pairs of frequent words, and phrases of frequent pairs, are counted.
+frequent pairs. The more shards, the lower the local support: from ``support / 2`` shards on
+every phrase of a shard is reported, and what is moved grows in proportion to the texts.
 
 What tasks are told about words, pairs and candidates is a bit table of fixed size: it may
 let a phrase through that is none, which is then counted and dropped, and never the reverse.
@@ -47,8 +48,8 @@ from graticule.session import small_side, written
 SUPPORT = 100
 LONGEST = 5
 BEST = 2000
-# Text mined as one shard; numpy arrays take about thirty times as much.
-SHARD_BYTES = 12 << 20
+# Text mined as one shard; its arrays take about thirty times as much.
+SHARD_BYTES = 1 << 20
 # Eight megabytes on the driver and in each Python worker.
 FILTER_BITS = 1 << 26
 RANK_SHARES = 128
@@ -58,7 +59,7 @@ _PLAIN[list(b".,;:!?")] = 10
 _CUTS = np.zeros(256, bool)
 _CUTS[[0x0A, 0x0B, 0x0C, 0x0D]] = True
 _TIMES = np.random.Generator(np.random.PCG64(12)).integers(1, 1 << 63, LONGEST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PHRASES = "lang string, phrase string, width int, h long, n long"
+PHRASES = "lang string, phrase string, n long"
 
 
 class Shard:
@@ -206,81 +207,83 @@ def bit_table(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return table
 
 
-def _rows(shard: Shard, width: int, first: np.ndarray, count: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(first), 100_000):
-        some = first[a : a + 100_000]
-        phrase = shard.spelled(some)
-        for j in range(1, width):
-            phrase = pc.binary_join_element_wise(phrase, shard.spelled(some + j), " ")
-        lang = pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[some]))
-        yield pa.RecordBatch.from_arrays(
-            [lang, phrase, pa.array(np.full(len(some), width), pa.int32()), pa.array(shard.hashed(some, width).view(np.int64)), pa.array(count[a : a + 100_000], pa.int64())], names
-        )
+def hashes_of(phrases: DataFrame) -> DataFrame:
+    """``h`` of each (lang, phrase), as shards compute it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, hashes, first = W.words_in(*W.texts_of(batch.column("phrase")))
+            langs = batch.column("lang").dictionary_encode()
+            salts = W.mix(np.array([hash_of(lang) for lang in langs.dictionary.to_pylist()], np.uint64))
+            out, widths = salts[langs.indices.to_numpy()], np.diff(first)
+            for j in range(LONGEST):
+                more = np.flatnonzero(widths > j)
+                out[more] += hashes[first[more] + j] * _TIMES[j]
+            yield pa.RecordBatch.from_arrays([pa.array(W.mix(out).view(np.int64))], ["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
 
 
-def _counted(texts: DataFrame, allowed: list, widths: tuple[int, int], known: np.ndarray | None, open_from: int, size: int) -> DataFrame:
-    """Exact counts of all phrases of these widths, of the candidates ``known`` only where a language has fewer than ``open_from`` words."""
+def _counted(texts: DataFrame, allowed: list, widths: tuple[int, int], known: np.ndarray | None, size: int) -> DataFrame:
+    """Exact counts of all phrases of these widths that ``known`` holds (all when None)."""
     low, high = widths
-    names = ["lang", "phrase", "width", "h", "n"]
 
-    def run(batches):
-        for shard, totals in shards(batches, size):
-            free = np.array([totals.get(lang, 0) >= open_from for lang in shard.langs])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, _ in shards(batches, size):
 
             def keep(width, first, count):
                 if width < low or known is None:
                     return np.ones(len(first), bool)
-                return free[shard.lang[first]] | contains(known, shard.hashed(first, width))
+                return contains(known, shard.hashed(first, width))
 
             for width, first, count in grown(shard, allowed, high, keep):
                 if width >= low:
-                    yield from _rows(shard, width, first, count, names)
+                    phrase = shard.spelled(first)
+                    for j in range(1, width):
+                        phrase = pc.binary_join_element_wise(phrase, shard.spelled(first + j), " ")
+                    lang = pa.array(shard.langs, pa.string()).take(pa.array(shard.lang[first]))
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(count, pa.int64())], ["lang", "phrase", "n"])
 
-    return texts.mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(
-        F.sum("n").alias("n"), F.first("h").alias("h"), F.first("width").alias("width")
-    )
+    return texts.mapInArrow(run, PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _mined(texts: DataFrame, allowed: list, widths: tuple[int, int], support: int, size: int) -> DataFrame:
-    """Hashes of the locally frequent phrases of each shard."""
+    """``h`` of the phrases that can be frequent by what all shards report of them."""
     low, high = widths
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, totals in shards(batches, size):
-            share = shard.sizes / np.array([totals[lang] for lang in shard.langs])
-            least = (support * share)[shard.lang] * (1 - 1e-12)
+            half = (support * shard.sizes) // (2 * np.array([totals[lang] for lang in shard.langs]))
 
             def keep(width, first, count):
-                return count >= least[first]
+                return count > half[shard.lang[first]]
 
-            for width, first, _ in grown(shard, allowed, high, keep):
+            for width, first, count in grown(shard, allowed, high, keep):
                 if width >= low:
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.hashed(first, width).view(np.int64))], ["h"])
+                    excess = count - half[shard.lang[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard.hashed(first, width).view(np.int64)), pa.array(excess, pa.int64())], ["h", "excess"])
 
-    return texts.mapInArrow(run, "h long")
+    return texts.mapInArrow(run, "h long, excess long").groupBy("h").agg(F.sum("excess").alias("excess")).where(F.col("excess") * 2 >= support)
 
 
 def frequent_phrases(
     docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, filter_bits: int = FILTER_BITS
 ) -> tuple[DataFrame, DataFrame]:
-    """``(lang, phrase, width, h, n)`` of all phrases of up to ``longest`` words that stand ``support`` times in a language; ``(lang, total)`` words."""
+    """``(lang, phrase, n)`` of all phrases of up to ``longest`` words that stand ``support`` times in a language; ``(lang, total)`` words."""
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases of 1 to {LONGEST} words")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    words = written(_counted(texts, [None], (1, 1), None, 0, shard_bytes), "phrase-words")
+    words = written(_counted(texts, [None], (1, 1), None, shard_bytes), "phrase-words")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     found = [written(words.where(F.col("n") >= support), "phrase-frequent")]
     texts = texts.join(small_side(totals, totals.count()), "lang", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    # Words have two bytes at least, so a shard holds at most half of its bytes in words, one long text apart.
-    open_from = support * (shard_bytes + W.CHUNK) // 2
-    allowed: list = [None, bit_table(found[0], filter_bits)]
-    for widths in [(2, 2), (3, longest)]:
-        if widths[1] > longest or widths[0] > longest:
+    allowed: list = [None]
+    for low, high in [(2, 2), (3, longest)]:
+        if low > longest:
             break
-        mined = _mined(texts.where(F.col("total") < open_from), allowed, widths, support, shard_bytes)
-        known = bit_table(mined, filter_bits)
-        found.append(written(_counted(texts, allowed, widths, known, open_from, shard_bytes).where(F.col("n") >= support), "phrase-frequent"))
-        allowed.append(bit_table(found[-1], filter_bits))
+        allowed.append(bit_table(hashes_of(found[-1]), filter_bits))
+        known = bit_table(_mined(texts, allowed, (low, high), support, shard_bytes), filter_bits)
+        found.append(written(_counted(texts, allowed, (low, high), known, shard_bytes).where(F.col("n") >= support), "phrase-frequent"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -290,7 +293,7 @@ def frequent_phrases(
 def collocations(docs: DataFrame, best: int = BEST, support: int = SUPPORT, **options) -> DataFrame:
     """The ``best`` phrases of each language by their weakest cut (see the module's notes)."""
     every, totals = frequent_phrases(docs, support, **options)
-    phrases = every.where("width > 1").select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
+    phrases = every.select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("w")).where("size(w) > 1")
     part = lambda start, length: F.array_join(F.slice("w", start, length), " ")
     # A phrase inside a longer one that stands as often: the one word longer it lies in is frequent too.
     inner = phrases.where("size(w) > 2").select(

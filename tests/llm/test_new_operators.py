@@ -115,15 +115,16 @@ def test_collocations_against_brute_force(spark, texts, shard, monkeypatch):
     assert found == brute_collocations(texts, 12, 40) and len(found) > 60
 
 
-def test_collocations_where_every_phrase_of_a_shard_is_locally_frequent(spark, texts, monkeypatch):
-    monkeypatch.setattr(C.W, "CHUNK", 100)
-    mined = []
-    plain = C._mined
-    monkeypatch.setattr(C, "_mined", lambda texts, *more: mined.append(texts.count()) or plain(texts, *more))
-    df = spark.createDataFrame(texts, "text string, lang string")
-    found = sorted(tuple(r) for r in C.collocations(df, best=40, support=3, shard_bytes=1).collect())
-    assert found == brute_collocations(texts, 3, 40)
-    assert mined and max(mined) < len(texts)  # the larger languages need no mining
+def test_local_support_follows_the_share_of_a_shard(spark, texts, monkeypatch):
+    """Small shards report every phrase, large ones only what exceeds half of their share; both find all frequent ones."""
+    df = spark.createDataFrame(texts, "text string, lang string").coalesce(1)
+    reported = {}
+    for chunk in (100, 1 << 20):
+        monkeypatch.setattr(C.W, "CHUNK", chunk)
+        one = df.withColumn("lang", F.lit("en")).withColumn("total", F.lit(5000))
+        reported[chunk] = C._mined(one, [None], (2, 2), 40, chunk).count()
+        assert sorted(tuple(r) for r in C.collocations(df, best=40, support=5, shard_bytes=chunk).collect()) == brute_collocations(texts, 5, 40)
+    assert reported[1 << 20] <= reported[100]
 
 
 def test_products_beyond_64_bits(spark):
