@@ -30,7 +30,6 @@ from graticule.streaming.incremental_som import IncrementalSom, load_snapshot, s
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_KEY = ["l_orderkey", "line"]
 GRID = (4, 5)
-RANGES = 6  # ranges of the two-level scans in these checks, so that both levels do work
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,7 +107,7 @@ def whitespace_scan(spark, d):
 
 def label_by_position(spark, d):
     events = table(spark, d, "events").select("event_id", "value")
-    return D.label_by_position(events, ["event_id"], 36, ranges=RANGES)
+    return D.label_by_position(events, ["event_id"], 36)
 
 
 def uniform_vectors(spark, d):
@@ -210,19 +209,19 @@ def capital_runs(spark, d):
 
 def prefix_sum(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return C.running_sums(orders, {"running": "o_custkey"}, ["o_orderkey"], ranges=RANGES)
+    return C.running_sums(orders, {"running": "o_custkey"}, ["o_orderkey"])
 
 
 def prefix_sum_by_row(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    return C.running_sums(orders, {"running": "o_custkey"}, ["o_orderkey"], ["o_orderpriority"], ranges=RANGES)
+    return C.running_sums(orders, {"running": "o_custkey"}, ["o_orderkey"], ["o_orderpriority"])
 
 
 def prefix_sum_with_criterion(spark, d):
     rows = order_samples(spark, d).select("o_orderkey", F.col("features")[0].alias("price"), "label")
     rows = rows.withColumn("one", F.lit(1).cast("bigint")).withColumn("label", F.col("label").cast("bigint"))
     sums = C.running_sums(
-        rows, {"n_left": "one", "s_left": "label"}, ["price", "o_orderkey"], totals={"n": "one", "s": "label"}, ranges=RANGES
+        rows, {"n_left": "one", "s_left": "label"}, ["price", "o_orderkey"], totals={"n": "one", "s": "label"}
     )
     return sums.selectExpr(
         "o_orderkey", "n_left", "s_left", f"round({criterion('gini', 'n_left', 's_left')}, 4) as criterion"
@@ -231,18 +230,18 @@ def prefix_sum_with_criterion(spark, d):
 
 def stable_partition(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type", (F.col("value") > 10).alias("goes_right"))
-    return C.stable_partition(events, "goes_right", ["event_id"], ["event_type"], ranges=RANGES)
+    return C.stable_partition(events, "goes_right", ["event_id"], ["event_type"])
 
 
 def row_positions(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type")
-    return C.positions(events, ["event_id"], ["event_type"], ranges=RANGES)
+    return C.positions(events, ["event_id"], ["event_type"])
 
 
 def _argsort(spark, d):
     events = table(spark, d, "events").select("event_id", "event_type", "value")
-    placed = C.positions(events, ["event_id"], ["event_type"], "idx", ranges=RANGES)
-    return C.positions(placed, ["value", "event_id"], ["event_type"], "pos", ranges=RANGES)
+    placed = C.positions(events, ["event_id"], ["event_type"], "idx")
+    return C.positions(placed, ["value", "event_id"], ["event_type"], "pos")
 
 
 def feature_argsort(spark, d):
@@ -252,7 +251,7 @@ def feature_argsort(spark, d):
 def gather(spark, d):
     index = _argsort(spark, d).select("event_type", "pos", "idx")
     source = table(spark, d, "events").select("event_id", "event_type", "value")
-    source = C.positions(source, ["event_id"], ["event_type"], "at", ranges=RANGES)
+    source = C.positions(source, ["event_id"], ["event_type"], "at")
     return C.gather(index, source, ["event_type"], "idx", "at", "value")
 
 
@@ -594,13 +593,13 @@ def forest_accuracy(spark, d):
 
 
 def forest_roc(spark, d):
-    found = E.roc_points(predict_forest(lines(spark, d), _forest(spark, d)), "score", ranges=3)
+    found = E.roc_points(predict_forest(lines(spark, d), _forest(spark, d)), "score")
     return found.withColumn("tpr", F.round("tpr", 6))
 
 
 def value_roc(spark, d):
     events = table(spark, d, "events").select("value", F.when(F.col("event_type") == "click", 1).otherwise(0).alias("label"))
-    return E.roc_points(events, "value", ranges=RANGES).withColumn("tpr", F.round("tpr", 6))
+    return E.roc_points(events, "value").withColumn("tpr", F.round("tpr", 6))
 
 
 def impurities(spark, d):

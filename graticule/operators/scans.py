@@ -1,24 +1,26 @@
 """Prefix sums, positions, stable partition, gather and scatter.
 
-A plain window over one group sorts that group in one task. Here each group is
-first cut into ranges of the order column, so a group holding a third of all
-rows is spread over many tasks: running sums inside (group, range), plus the
-summed totals of the earlier ranges of the group. Both parts use the same
-(group, range) partitioning, so the rows are shuffled once.
+A plain window over one group sorts that group in one task. Here the rows are dealt out by
+ranges of (group, whole order), so a group, and a value of the first order column, with a
+third of all rows is spread over many tasks. Each task runs its sums along its sorted
+rows in one streamed pass. What a run of equal group lacks when it began in an earlier
+task follows from one small row per task, and is added by the task's number. The
+rows are shuffled once; nothing runs before the caller's action.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows wanted per range; more rows than this per task make the sort spill.
-ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 10_000
+# Rows of a run that wait in a task for the run's total; longer runs are looked up.
+LONG_RUN = 65_536
 
 
 def range_edges(df: DataFrame, columns: Sequence[str], ranges: int, rows: int) -> list[list[float]]:
@@ -37,23 +39,247 @@ def range_edges(df: DataFrame, columns: Sequence[str], ranges: int, rows: int) -
     return [sorted(set(q)) for q in quantiles]
 
 
-def with_ranges(df: DataFrame, columns: Sequence[str], edges: Sequence[Sequence[float]], outputs: Sequence[str]) -> DataFrame:
-    """Add the range number of each column (binary search over its edges)."""
-    names = [f"_range_in_{i}" for i in range(len(columns))]
-    out = df.withColumns({n: F.col(c).cast("double") for n, c in zip(names, columns)})
-    found = Bucketizer(
-        splitsArray=[[-math.inf, *e, math.inf] if e else [-math.inf, 0.0, math.inf] for e in edges],
-        inputCols=names,
-        outputCols=[f"{n}_b" for n in names],
-        handleInvalid="keep",
-    ).transform(out)
-    # NaN lands in an extra last range, null in range -1: both sort as Spark sorts them.
-    return found.withColumns(
-        {
-            o: F.coalesce(F.col(f"{n}_b").cast("int"), F.lit(-1)) if e else F.lit(0)
-            for o, n, e in zip(outputs, names, edges)
-        }
-    ).drop(*names, *[f"{n}_b" for n in names])
+def _sum_type(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return T.LongType()
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(min(38, kind.precision + 10), kind.scale)
+    raise TypeError(f"cannot sum {kind.simpleString()}")
+
+
+def _numbers(column: pa.Array, kind: T.DataType) -> np.ndarray:
+    """Values to sum; a null adds nothing."""
+    if isinstance(kind, T.DecimalType):
+        return np.array([Decimal(0) if v is None else v for v in column.to_pylist()], object)
+    target = pa.int64() if isinstance(kind, T.LongType) else pa.float64()
+    return column.cast(target).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _key(batch: pa.RecordBatch, columns: Sequence[str], at: int) -> tuple:
+    values = [batch.column(c)[at].as_py() for c in columns]
+    return tuple("nan" if v != v else v for v in values)
+
+
+def _starts(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
+    """Where a row's group differs from the row before it; never at the first row."""
+    new = np.zeros(batch.num_rows, bool)
+    for c in columns:
+        column = batch.column(c)
+        if pa.types.is_nested(column.type):
+            values = column.to_pylist()
+            new[1:] |= [a != b for a, b in zip(values[1:], values)]
+        else:
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _along(values: np.ndarray, starts: np.ndarray, carried) -> tuple[np.ndarray, list]:
+    """Running sums of each run of a batch, and each run's sum so far; the first run goes on from ``carried``."""
+    edges = [0, *starts.tolist(), len(values)]
+    if values.dtype == np.int64:
+        out = np.cumsum(values)
+        base = out[edges[:-1]] - values[edges[:-1]]
+        base[0] = -carried
+        out = out - np.repeat(base, np.diff(edges))
+    else:
+        out = values.copy()
+        out[0] = out[0] + carried
+        for a, b in zip(edges, edges[1:]):
+            out[a:b] = np.cumsum(out[a:b])
+    return out, [out[b - 1] for b in edges[1:]]
+
+
+class _Scan:
+    """One task's pass over its sorted rows: runs of equal group, numbered from 0."""
+
+    def __init__(self, group: Sequence[str], sums: dict[str, T.DataType]):
+        self.group, self.sums = group, sums
+        self.run, self.rows, self.key = -1, 0, None  # the run of the last row, its rows so far, its group
+        self.carried = {c: _zero(kind) for c, kind in sums.items()}
+
+    def step(self, batch: pa.RecordBatch) -> tuple[int, bool, list[int], dict[str, np.ndarray], dict[str, list]]:
+        """``(run of the first row, whether it goes on, edges of the runs, running sums, sum at each run's end)``."""
+        going = self.run >= 0 and _key(batch, self.group, 0) == self.key
+        if not going:
+            self.run, self.rows = self.run + 1, 0
+            self.carried = {c: _zero(kind) for c, kind in self.sums.items()}
+        first, starts = self.run, _starts(batch, self.group)
+        along, ends = {}, {}
+        for c, kind in self.sums.items():
+            along[c], ends[c] = _along(_numbers(batch.column(c), kind), starts, self.carried[c])
+        edges = [0, *starts.tolist(), batch.num_rows]
+        self.run += len(starts)
+        self.rows = edges[-1] - edges[-2] + (0 if len(starts) else self.rows)
+        self.carried = {c: e[-1] for c, e in ends.items()}
+        self.key = _key(batch, self.group, batch.num_rows - 1)
+        return first, going, edges, along, ends
+
+
+def _zero(kind: T.DataType):
+    return Decimal(0) if isinstance(kind, T.DecimalType) else 0 if isinstance(kind, T.LongType) else 0.0
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.DecimalType):
+        return pa.decimal128(kind.precision, kind.scale)
+    return pa.int64() if isinstance(kind, T.LongType) else pa.float64()
+
+
+def _local(group: Sequence[str], sums: dict[str, T.DataType], totals: bool, long_run: int):
+    """Rows with their running sums inside the task; ``_run`` names a run whose sums are corrected later."""
+    kinds = {c: _arrow(kind) for c, kind in sums.items()}
+
+    def made(rows: pa.RecordBatch, along: dict, run: int | None, whole: dict | None) -> pa.RecordBatch:
+        n = rows.num_rows
+        arrays = [pa.array(np.full(n, run), pa.int64()) if run is not None else pa.nulls(n, pa.int64())]
+        names = ["_run", *[f"_along_{c}" for c in sums]]
+        arrays += [pa.array(along[c], kinds[c]) for c in sums]
+        if totals:
+            names += [f"_whole_{c}" for c in sums]
+            arrays += [pa.array(whole[c], kinds[c]) if whole else pa.nulls(n, kinds[c]) for c in sums]
+        return pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=[*rows.schema.names, *names])
+
+    def cut(along: dict, a: int, b: int) -> dict:
+        return {c: v[a:b] for c, v in along.items()}
+
+    def offsets_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _Scan(group, sums)
+        for batch in batches:
+            if batch.num_rows:
+                first, _, edges, along, _ = scan.step(batch)
+                n = edges[1] if first == 0 else 0
+                if n:
+                    yield made(batch.slice(0, n), cut(along, 0, n), 0, None)
+                if n < batch.num_rows:
+                    yield made(batch.slice(n), cut(along, n, batch.num_rows), None, None)
+
+    def with_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, held, held_rows = _Scan(group, sums), [], 0
+
+        def settled(ends: dict) -> Iterator[pa.RecordBatch]:
+            for rows, along in held:
+                yield made(rows, along, None, {c: np.repeat(np.array([e], object if isinstance(e, Decimal) else None), rows.num_rows) for c, e in ends.items()})
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = scan.carried
+            first, going, edges, along, ends = scan.step(batch)
+            if held and not going:
+                yield from settled(before)
+            last = len(edges) - 2
+            for i in sorted({0, last}):
+                a, b = edges[i], edges[i + 1]
+                on = going and i == 0
+                waiting = sum(r.num_rows for r, _ in held)
+                rows, part = batch.slice(a, b - a), cut(along, a, b)
+                if first + i == 0 or (on and not held) or waiting + b - a > long_run:
+                    for r, x in held:
+                        yield made(r, x, first + i, None)
+                    held.clear()
+                    yield made(rows, part, first + i, None)
+                else:
+                    held.append((rows, part))
+                if i == 0 and last:
+                    yield from settled({c: e[0] for c, e in ends.items()})
+            if last > 1:  # runs that begin and end in this batch
+                a, b = edges[1], edges[last]
+                sizes = np.diff(edges[1 : last + 1])
+                whole = {c: np.repeat(np.array(e[1:last], object if isinstance(e[0], Decimal) else None), sizes) for c, e in ends.items()}
+                yield made(batch.slice(a, b - a), cut(along, a, b), None, whole)
+        for rows, along in held:  # the task's last run may go on in the next one
+            yield made(rows, along, scan.run, None)
+
+    return with_totals if totals else offsets_only
+
+
+def _run_sums(group: Sequence[str], sums: dict[str, T.DataType], long_run: int):
+    """The first, the last and every long run of each task: its group, whether it is first or last, and its sums."""
+    kinds = {c: _arrow(kind) for c, kind in sums.items()}
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, open_, schema = _Scan(group, sums), None, None
+
+        def table(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(rows, schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if schema is None:
+                schema = pa.schema([
+                    ("_part", pa.int32()), ("_run", pa.int64()), ("_first", pa.bool_()), ("_last", pa.bool_()), *[batch.schema.field(c) for c in group],
+                    *[(f"_sum_{c}", kind) for c, kind in kinds.items()],
+                ])
+            rows_before = scan.rows
+            first, going, edges, _, ends = scan.step(batch)
+            if open_ is not None and not going and (open_["_first"] or rows_before > long_run):
+                yield table([open_])
+            for i in range(len(edges) - 1):
+                last = i == len(edges) - 2
+                size = edges[i + 1] - edges[i] + (rows_before if going and i == 0 else 0)
+                if not last and first + i and size <= long_run:
+                    continue
+                sums_now = {f"_sum_{c}": e[i].item() if isinstance(e[i], np.generic) else e[i] for c, e in ends.items()}
+                found = {"_part": batch.column("_part")[0].as_py(), "_run": first + i, "_first": first + i == 0, "_last": False, **sums_now}
+                found |= {c: batch.column(c)[edges[i]].as_py() for c in group}
+                if last:
+                    open_ = found
+                else:
+                    yield table([found])
+        if open_ is not None:
+            yield table([open_ | {"_last": True}])
+
+    return run_
+
+
+def _carried(group: Sequence[str], sums: dict[str, T.DataType]):
+    """What the first run of each task has before it, and the total of every group that crosses tasks."""
+    kinds = {c: _arrow(kind) for c, kind in sums.items()}
+    schema = pa.schema([
+        ("_part", pa.int32()), ("_run", pa.int64()), *[x for c, kind in kinds.items() for x in ((f"_before_{c}", kind), (f"_total_{c}", kind))]
+    ])
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{n: r[n] for n in schema.names} for r in rows], schema)
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            inside = []
+            for r in batch.to_pylist():
+                if r["_first"] or r["_last"]:
+                    rows.append(r)
+                else:
+                    inside.append(r | {x: v for c, kind in sums.items() for x, v in ((f"_before_{c}", _zero(kind)), (f"_total_{c}", r[f"_sum_{c}"]))})
+            if inside:
+                yield made(inside)
+        rows.sort(key=lambda r: (r["_part"], r["_run"]))
+        key = lambda r: tuple("nan" if r[c] != r[c] else r[c] for c in group)
+        chains: list[list[dict]] = []
+        for r in rows:
+            # A first run goes on from the last run of the task before; a last one of its own task starts afresh.
+            before = chains[-1][-1] if chains else None
+            if before and r["_first"] and before["_last"] and key(r) == key(before):
+                chains[-1].append(r)
+            else:
+                chains.append([r])
+        for chain in chains:
+            for c, kind in sums.items():
+                so_far = _zero(kind)
+                for r in chain:
+                    r[f"_before_{c}"] = so_far
+                    so_far += r[f"_sum_{c}"]
+                for r in chain:
+                    r[f"_total_{c}"] = so_far
+        if rows:
+            yield made(rows)
+
+    return run_
 
 
 def running_sums(
@@ -63,46 +289,47 @@ def running_sums(
     partition_by: Sequence[str] = (),
     totals: dict[str, str] | None = None,
     ranges: int | None = None,
+    long_run: int = LONG_RUN,
 ) -> DataFrame:
     """Inclusive prefix sums.
 
-    ``values`` maps an output name to the summed column; ``totals`` optionally
-    maps an output name to a column whose total over the whole group is added.
-    ``order_by`` starts with a numeric column, later entries break ties.
+    ``values`` maps an output name to the summed column; ``totals`` optionally maps an output name
+    to a column whose total over the whole group is added. ``order_by`` are any orderable
+    columns; end it with a key, as rows equal in all of them meet in one task. ``ranges``
+    is the number of tasks (``spark.sql.shuffle.partitions``). A null adds nothing; a null
+    group is a group. Integers add up to bigint, floats to double, decimals to decimals.
+
+    The corrections that are broadcast are at most two rows per task, and with ``totals`` one more per ``long_run`` rows.
     """
     totals = totals or {}
-    if ranges is None:
-        rows = df.count()
-        ranges = min(MAX_RANGES, math.ceil(rows / ROWS_PER_RANGE))
-    else:
-        rows = 0
-    edges = range_edges(df, order_by[:1], ranges, rows)
-    ranged = with_ranges(df, order_by[:1], edges, ["_range"])
-    # A struct is never null, so a null group joins like any other group while
-    # the join keys stay plain columns that match the window's partitioning.
-    group = ["_group"] if partition_by else []
-    if group:
-        ranged = ranged.withColumn("_group", F.struct(*partition_by))
-    keys = [*group, "_range"]
-    summed = list(dict.fromkeys([*values.values(), *totals.values()]))
-
-    per_range = ranged.groupBy(*keys).agg(*[F.sum(c).alias(f"_sum_{c}") for c in summed])
-    # At most one row per (group, range): a window over it stays small.
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    offsets = per_range.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in summed],
-        *[F.sum(f"_sum_{c}").over(whole).alias(n) for n, c in totals.items()],
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select(
-        *ranged.columns, *[F.sum(c).over(inside).alias(f"_run_{n}") for n, c in values.items()]
-    )
-    return local.join(offsets, keys).select(
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = list(partition_by)
+    sums = {c: _sum_type(df.schema[c].dataType) for c in dict.fromkeys([*values.values(), *totals.values()])}
+    keys = [*group, *order_by]
+    # Both passes below read this one exchange: they take all of its columns, so that it is planned once.
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+
+    local_type = T.StructType([*ranged.schema.fields, T.StructField("_run", T.LongType())])
+    sums_type = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType())])
+    sums_type = sums_type.add("_first", T.BooleanType()).add("_last", T.BooleanType())
+    fix_type = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType())])
+    for c in group:
+        sums_type = sums_type.add(df.schema[c])
+    for c, kind in sums.items():
+        local_type = local_type.add(f"_along_{c}", kind)
+        sums_type = sums_type.add(f"_sum_{c}", kind)
+        fix_type = fix_type.add(f"_before_{c}", kind).add(f"_total_{c}", kind)
+    for c, kind in sums.items() if totals else ():
+        local_type = local_type.add(f"_whole_{c}", kind)
+    local = ranged.mapInArrow(_local(group, sums, bool(totals), long_run), local_type)
+    run_sums = ranged.mapInArrow(_run_sums(group, sums, long_run if totals else 1 << 62), sums_type)
+    # At most two rows per task are put in order of their tasks in one task; rows of long runs stream through it.
+    fixes = run_sums.repartition(1).mapInArrow(_carried(group, sums), fix_type)
+    zero = lambda c: F.coalesce(F.col(f"_before_{c}"), F.lit(0).cast(sums[c]))
+    return local.join(F.broadcast(fixes), ["_part", "_run"], "left").select(
         *df.columns,
-        *[(F.col(f"_run_{n}") + F.col(f"_before_{c}")).alias(n) for n, c in values.items()],
-        *totals,
+        *[(F.col(f"_along_{c}") + zero(c)).cast(sums[c]).alias(name) for name, c in values.items()],
+        *[F.coalesce(f"_total_{c}", f"_whole_{c}").alias(name) for name, c in totals.items()],
     )
 
 
@@ -110,7 +337,7 @@ def positions(
     df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), output: str = "pos",
     ranges: int | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row within its group."""
+    """Zero-based position of each row within its group; ``order_by`` as for ``running_sums``."""
     counted = running_sums(
         df.withColumn("_one", F.lit(1).cast("bigint")), {output: "_one"}, order_by, partition_by, ranges=ranges
     )

@@ -182,6 +182,49 @@ def test_running_sums_equal_a_plain_window(spark):
         assert found.exceptAll(plain).count() == 0 and plain.exceptAll(found).count() == 0
 
 
+@pytest.mark.parametrize("long_run", [3, 65_536])
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_running_sums_over_tasks_batches_and_types(spark, long_run, batch):
+    """Groups inside a batch, over batches and over tasks; integer, double and decimal sums; string and date orders."""
+    rng = np.random.default_rng(4)
+    data = [(i, "hot" if i % 3 else f"g{int(rng.integers(400))}", int(rng.integers(-9, 9)) if i % 13 else None) for i in range(3000)]
+    df = spark.createDataFrame(data, "id int, g string, v int").selectExpr(
+        "id", "g", "v", "coalesce(v, 0) / 4 as d", "cast(v as decimal(9, 2)) / 2 as m", "concat('k', lpad(id % 500, 4, '0')) as s", "date_add(date'2020-01-01', id) as day"
+    ).repartition(3)
+    window = Window.partitionBy("g").orderBy("s", "day").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df
+    for c in ("v", "d", "m"):
+        plain = plain.withColumn(f"run_{c}", F.coalesce(F.sum(c).over(window), F.lit(0)))
+    plain = plain.withColumn("all_v", F.coalesce(F.sum("v").over(Window.partitionBy("g")), F.lit(0))).withColumn("all_m", F.coalesce(F.sum("m").over(Window.partitionBy("g")), F.lit(0)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = scans.running_sums(
+            df, {"run_v": "v", "run_d": "d", "run_m": "m"}, ["s", "day"], ["g"], totals={"all_v": "v", "all_m": "m"}, ranges=9, long_run=long_run
+        )
+        key = lambda r: r["id"]
+        assert [tuple(r) for r in sorted(found.collect(), key=key)] == [tuple(r) for r in sorted(plain.collect(), key=key)]
+        only = scans.running_sums(df, {"run_v": "v"}, ["s", "day"], ["g"], ranges=9, long_run=long_run)
+        assert only.select("id", "run_v").exceptAll(plain.select("id", "run_v")).count() == 0
+        both = only.union(only).groupBy("id").agg(F.count_distinct("run_v").alias("n"), F.count("*").alias("c")).where("n > 1 or c != 2")
+        assert both.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_of_one_first_value_spread_over_all_tasks_with_one_shuffle(spark):
+    df = spark.range(200_000).select("id", F.lit("same").alias("o"), (F.col("id") % 7).alias("v"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    found = scans.running_sums(df, {"run": "v"}, ["o", "id"], totals={"all": "v"}, ranges=8)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == jobs  # nothing ran yet
+    sizes = found.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 60_000
+    assert found.where("run != (id div 7) * 21 + ((id % 7) * (id % 7 + 1)) div 2").count() == 0 and found.where(f"all != {sum(i % 7 for i in range(200_000))}").count() == 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
+    assert len([x for x in shuffles if "ReusedExchange" not in x]) == 1 and len(shuffles) == 2
+
+
 def test_running_sums_survive_without_broadcast(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
