@@ -498,7 +498,7 @@ def _event_stream(spark, d):
 
 def split_candidates(spark, d):
     """Every candidate threshold at the root, with side counts and criterion."""
-    rows = lines(spark, d).select(F.lit(0).alias("tree_id"), "features", F.col("label").cast("double").alias("y"))
+    rows = lines(spark, d).select(F.array(F.lit(0)).alias("at"), "features", F.col("label").cast("double").alias("y"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).withColumn("slot", F.lit(0))
     root = Node(0, 0, 0, False, None, None, 0.0, 0, 0.0, None)
     level = Level(FlatTrees([root]), np.array([0]), np.array([0]), [np.empty(0)] * 4, 4, 0)

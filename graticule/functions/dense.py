@@ -22,6 +22,14 @@ def matrix(column: pa.Array, width: int, finite: bool = True) -> np.ndarray:
     return values.reshape(len(column), width)
 
 
+def members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of every entry of a list column."""
+    if column.null_count:
+        raise ValueError("null list")
+    offsets = column.offsets.to_numpy()
+    return np.repeat(np.arange(len(column)), np.diff(offsets)), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def nearest(x: np.ndarray, w: np.ndarray, k: int = 1) -> np.ndarray:
     """Indices of the k nearest rows of ``w`` for each row of ``x``, nearest first.
 
@@ -103,9 +111,12 @@ class FlatTrees:
         at = np.minimum(np.searchsorted(self.tree_ids, tree_ids), len(self.tree_ids) - 1)
         return np.where(self.tree_ids[at] == tree_ids, self.roots[at], -1)
 
-    def descend(self, x: np.ndarray, current: np.ndarray, steps: int | None = None) -> np.ndarray:
-        """Index of the node each row reaches after ``steps`` levels (its leaf when None)."""
-        rows = np.arange(len(x))
+    def descend(self, x: np.ndarray, current: np.ndarray, steps: int | None = None, rows: np.ndarray | None = None) -> np.ndarray:
+        """Index of the node each row reaches after ``steps`` levels (its leaf when None).
+
+        ``rows`` names the row of ``x`` of each entry of ``current``, where rows go down several trees.
+        """
+        rows = np.arange(len(x)) if rows is None else rows
         current = current.copy()
         for _ in range(self.depth if steps is None else steps):
             feature = np.where(current >= 0, self.feature[current], -1)

@@ -79,7 +79,6 @@ def training_folds(df: DataFrame, key: Sequence, folds: int = 10, seed: int = 0)
     return df.withColumn("fold", group_of(*key, groups=folds, seed=seed + FOLDS_SALT))
 
 
-def explode_training_folds(df: DataFrame, folds: int, output: str = "tree_id") -> DataFrame:
-    """Repeat each row for the ``folds - 1`` models that train on it."""
-    others = F.array_except(F.array(*[F.lit(i) for i in range(folds)]), F.array("fold"))
-    return df.withColumn(output, F.explode_outer(others))
+def other_folds(folds: int) -> Column:
+    """The ``folds - 1`` models that a row with a ``fold`` trains, as an array."""
+    return F.array_except(F.array(*[F.lit(i) for i in range(folds)]), F.array(F.col("fold").cast("int")))

@@ -3,9 +3,9 @@
 A plain window over one group sorts that group in one task. Here the rows are dealt out by
 ranges of (group, whole order), so a group, and a value of the first order column, with a
 third of all rows is spread over many tasks. Each task runs its sums along its sorted
-rows in one streamed pass. What a run of equal group lacks when it began in an earlier
-task follows from one small row per task, and is added by the task's number. The
-rows are shuffled once; nothing runs before the caller's action.
+rows in one streamed pass, whose rows are written to the shared folder. What a run of
+equal group lacks when it began in an earlier task follows from two small rows per task,
+and is added by the task's number. The rows are shuffled once, whatever their source.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graticule.session import written
+
 # Rows of a run that wait in a task for the run's total; longer runs are looked up.
 LONG_RUN = 65_536
 
@@ -129,35 +131,34 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 
 def _local(group: Sequence[str], sums: dict[str, T.DataType], totals: bool, long_run: int):
-    """Rows with their running sums inside the task; ``_run`` names a run whose sums are corrected later."""
+    """Rows with their running sums inside the task; ``_run`` names a run whose sums are corrected later.
+
+    Between them stand marks (``_mark``): one for the first, the last and every long run, with its group and sums.
+    """
     kinds = {c: _arrow(kind) for c, kind in sums.items()}
+    names = ["_run", "_mark", "_first", "_last", *[f"_along_{c}" for c in sums], *[f"_whole_{c}" for c in sums if totals]]
 
-    def made(rows: pa.RecordBatch, along: dict, run: int | None, whole: dict | None) -> pa.RecordBatch:
+    def made(rows: pa.RecordBatch, along: dict, run: int | None, whole: dict | None = None, mark: tuple[bool, bool] | None = None) -> pa.RecordBatch:
         n = rows.num_rows
         arrays = [pa.array(np.full(n, run), pa.int64()) if run is not None else pa.nulls(n, pa.int64())]
-        names = ["_run", *[f"_along_{c}" for c in sums]]
+        first, last = mark or (False, False)
+        arrays += [pa.array(np.full(n, v)) for v in (mark is not None, first, last)]
         arrays += [pa.array(along[c], kinds[c]) for c in sums]
         if totals:
-            names += [f"_whole_{c}" for c in sums]
             arrays += [pa.array(whole[c], kinds[c]) if whole else pa.nulls(n, kinds[c]) for c in sums]
         return pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=[*rows.schema.names, *names])
 
+    def mark_of(row: pa.RecordBatch, run: int, ends: dict, last: bool) -> pa.RecordBatch:
+        """A mark of the run of ``row``: its group and task, other columns null."""
+        bare = [row.column(i) if c in group or c == "_part" else pa.nulls(1, row.schema.field(i).type) for i, c in enumerate(row.schema.names)]
+        bare = pa.RecordBatch.from_arrays(bare, names=row.schema.names)
+        return made(bare, {c: [e.item() if isinstance(e, np.generic) else e] for c, e in ends.items()}, run, None, (run == 0, last))
+
     def cut(along: dict, a: int, b: int) -> dict:
         return {c: v[a:b] for c, v in along.items()}
 
-    def offsets_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scan(group, sums)
-        for batch in batches:
-            if batch.num_rows:
-                first, _, edges, along, _ = scan.step(batch)
-                n = edges[1] if first == 0 else 0
-                if n:
-                    yield made(batch.slice(0, n), cut(along, 0, n), 0, None)
-                if n < batch.num_rows:
-                    yield made(batch.slice(n), cut(along, n, batch.num_rows), None, None)
-
-    def with_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, held, held_rows = _Scan(group, sums), [], 0
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan, held, row = _Scan(group, sums), [], None
 
         def settled(ends: dict) -> Iterator[pa.RecordBatch]:
             for rows, along in held:
@@ -167,21 +168,33 @@ def _local(group: Sequence[str], sums: dict[str, T.DataType], totals: bool, long
         for batch in batches:
             if not batch.num_rows:
                 continue
-            before = scan.carried
+            before, rows_before, run_before, row_before = scan.carried, scan.rows, scan.run, row
             first, going, edges, along, ends = scan.step(batch)
+            last = len(edges) - 2
+            row = batch.slice(edges[last], 1)
+            if row_before is not None and not going and (run_before == 0 or rows_before > long_run):
+                yield mark_of(row_before, run_before, before, False)
+            for i in range(last):
+                if first + i == 0 or edges[i + 1] - edges[i] + (rows_before if going and i == 0 else 0) > long_run:
+                    yield mark_of(batch.slice(edges[i], 1), first + i, {c: e[i] for c, e in ends.items()}, False)
+            if not totals:
+                n = edges[1] if first == 0 else 0
+                if n:
+                    yield made(batch.slice(0, n), cut(along, 0, n), 0)
+                if n < batch.num_rows:
+                    yield made(batch.slice(n), cut(along, n, batch.num_rows), None)
+                continue
             if held and not going:
                 yield from settled(before)
-            last = len(edges) - 2
             for i in sorted({0, last}):
                 a, b = edges[i], edges[i + 1]
-                on = going and i == 0
                 waiting = sum(r.num_rows for r, _ in held)
                 rows, part = batch.slice(a, b - a), cut(along, a, b)
-                if first + i == 0 or (on and not held) or waiting + b - a > long_run:
+                if first + i == 0 or (going and i == 0 and not held) or waiting + b - a > long_run:
                     for r, x in held:
-                        yield made(r, x, first + i, None)
+                        yield made(r, x, first + i)
                     held.clear()
-                    yield made(rows, part, first + i, None)
+                    yield made(rows, part, first + i)
                 else:
                     held.append((rows, part))
                 if i == 0 and last:
@@ -192,47 +205,9 @@ def _local(group: Sequence[str], sums: dict[str, T.DataType], totals: bool, long
                 whole = {c: np.repeat(np.array(e[1:last], object if isinstance(e[0], Decimal) else None), sizes) for c, e in ends.items()}
                 yield made(batch.slice(a, b - a), cut(along, a, b), None, whole)
         for rows, along in held:  # the task's last run may go on in the next one
-            yield made(rows, along, scan.run, None)
-
-    return with_totals if totals else offsets_only
-
-
-def _run_sums(group: Sequence[str], sums: dict[str, T.DataType], long_run: int):
-    """The first, the last and every long run of each task: its group, whether it is first or last, and its sums."""
-    kinds = {c: _arrow(kind) for c, kind in sums.items()}
-
-    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, open_, schema = _Scan(group, sums), None, None
-
-        def table(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if schema is None:
-                schema = pa.schema([
-                    ("_part", pa.int32()), ("_run", pa.int64()), ("_first", pa.bool_()), ("_last", pa.bool_()), *[batch.schema.field(c) for c in group],
-                    *[(f"_sum_{c}", kind) for c, kind in kinds.items()],
-                ])
-            rows_before = scan.rows
-            first, going, edges, _, ends = scan.step(batch)
-            if open_ is not None and not going and (open_["_first"] or rows_before > long_run):
-                yield table([open_])
-            for i in range(len(edges) - 1):
-                last = i == len(edges) - 2
-                size = edges[i + 1] - edges[i] + (rows_before if going and i == 0 else 0)
-                if not last and first + i and size <= long_run:
-                    continue
-                sums_now = {f"_sum_{c}": e[i].item() if isinstance(e[i], np.generic) else e[i] for c, e in ends.items()}
-                found = {"_part": batch.column("_part")[0].as_py(), "_run": first + i, "_first": first + i == 0, "_last": False, **sums_now}
-                found |= {c: batch.column(c)[edges[i]].as_py() for c in group}
-                if last:
-                    open_ = found
-                else:
-                    yield table([found])
-        if open_ is not None:
-            yield table([open_ | {"_last": True}])
+            yield made(rows, along, scan.run)
+        if row is not None:
+            yield mark_of(row, scan.run, scan.carried, True)
 
     return run_
 
@@ -255,7 +230,7 @@ def _carried(group: Sequence[str], sums: dict[str, T.DataType]):
                 if r["_first"] or r["_last"]:
                     rows.append(r)
                 else:
-                    inside.append(r | {x: v for c, kind in sums.items() for x, v in ((f"_before_{c}", _zero(kind)), (f"_total_{c}", r[f"_sum_{c}"]))})
+                    inside.append(r | {x: v for c, kind in sums.items() for x, v in ((f"_before_{c}", _zero(kind)), (f"_total_{c}", r[f"_along_{c}"]))})
             if inside:
                 yield made(inside)
         rows.sort(key=lambda r: (r["_part"], r["_run"]))
@@ -273,7 +248,7 @@ def _carried(group: Sequence[str], sums: dict[str, T.DataType]):
                 so_far = _zero(kind)
                 for r in chain:
                     r[f"_before_{c}"] = so_far
-                    so_far += r[f"_sum_{c}"]
+                    so_far += r[f"_along_{c}"]
                 for r in chain:
                     r[f"_total_{c}"] = so_far
         if rows:
@@ -306,25 +281,22 @@ def running_sums(
     group = list(partition_by)
     sums = {c: _sum_type(df.schema[c].dataType) for c in dict.fromkeys([*values.values(), *totals.values()])}
     keys = [*group, *order_by]
-    # Both passes below read this one exchange: they take all of its columns, so that it is planned once.
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-
-    local_type = T.StructType([*ranged.schema.fields, T.StructField("_run", T.LongType())])
-    sums_type = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType())])
-    sums_type = sums_type.add("_first", T.BooleanType()).add("_last", T.BooleanType())
+    kind_of = T.StructType([T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields]).add("_run", T.LongType())
+    for flag in ("_mark", "_first", "_last"):
+        kind_of = kind_of.add(flag, T.BooleanType())
     fix_type = T.StructType([T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType())])
-    for c in group:
-        sums_type = sums_type.add(df.schema[c])
     for c, kind in sums.items():
-        local_type = local_type.add(f"_along_{c}", kind)
-        sums_type = sums_type.add(f"_sum_{c}", kind)
+        kind_of = kind_of.add(f"_along_{c}", kind)
         fix_type = fix_type.add(f"_before_{c}", kind).add(f"_total_{c}", kind)
     for c, kind in sums.items() if totals else ():
-        local_type = local_type.add(f"_whole_{c}", kind)
-    local = ranged.mapInArrow(_local(group, sums, bool(totals), long_run), local_type)
-    run_sums = ranged.mapInArrow(_run_sums(group, sums, long_run if totals else 1 << 62), sums_type)
-    # At most two rows per task are put in order of their tasks in one task; rows of long runs stream through it.
-    fixes = run_sums.repartition(1).mapInArrow(_carried(group, sums), fix_type)
+        kind_of = kind_of.add(f"_whole_{c}", kind)
+    # Written once: ranges are drawn anew whenever a plan is run, so rows and marks must come from one run.
+    local = written(ranged.mapInArrow(_local(group, sums, bool(totals), long_run if totals else 1 << 62), kind_of), "scan")
+    # At most two marks per task are put in order of their tasks in one task; marks of long runs stream through it.
+    marks = local.where("_mark").select("_part", "_run", "_first", "_last", *group, *[f"_along_{c}" for c in sums])
+    fixes = marks.repartition(1).mapInArrow(_carried(group, sums), fix_type)
+    local = local.where("not _mark")
     zero = lambda c: F.coalesce(F.col(f"_before_{c}"), F.lit(0).cast(sums[c]))
     return local.join(F.broadcast(fixes), ["_part", "_run"], "left").select(
         *df.columns,

@@ -28,22 +28,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graticule.functions.dense import FlatTrees, combined, matrix
+from graticule.functions.dense import FlatTrees, matrix, members
 from graticule.functions.impurity import criterion
-from graticule.session import small_side
+from graticule.session import check_model_size, small_side
 
 RANGE = ["slot", "feature", "range"]
 
 # The lower bound may exceed the true value by rounding; widen it by this much.
 _SLACK = 1e-9
 
-# Up to this many histogram cells a task keeps arrays, beyond it sorts each batch.
+# Up to this many histogram cells a task keeps arrays, beyond it reports each block.
 _DENSE_CELLS = 500_000
 
+# Rows times trees that a task works on at once: arrays of a feature take about a hundred bytes each.
+_BLOCK = 200_000
+
 
 @dataclass(frozen=True)
 class Level:
-    """What a task needs to turn rows into the open nodes' feature entries."""
+    """What a task needs to turn rows into the open nodes' feature entries.
+
+    Rows are (at, features, y). ``at`` lists where the row stands in each tree it trains: the
+    tree's id, or the index of a node once ``placed``.
+    """
 
     trees: FlatTrees  # all nodes so far
     slot: np.ndarray  # node index -> slot, -1 for closed nodes
@@ -51,6 +58,7 @@ class Level:
     edges: Sequence[np.ndarray]  # per feature, sorted inner edges of the ranges
     width: int
     bits: int
+    placed: bool = False
 
     def bins(self) -> np.ndarray:
         return np.left_shift(1, np.maximum(self.bits - self.shift, 0))
@@ -59,28 +67,75 @@ class Level:
         """First cell of each slot; a slot owns width x bins consecutive cells."""
         return np.concatenate([[0], np.cumsum(self.bins() * self.width)])
 
-    def cells(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cell, value, y) of every feature entry of the rows in open nodes, row-major."""
-        x = matrix(batch.column(1), self.width)
-        y = batch.column(2).to_numpy(zero_copy_only=False)
-        start = self.trees.start(batch.column(0).to_numpy(zero_copy_only=False))
-        stop = self.trees.descend(x, start)
-        slot = np.where(stop >= 0, self.slot[stop], -1)
-        if (slot < 0).any():
+    def cell_of(self, slot: np.ndarray, feature: np.ndarray | int, number: np.ndarray) -> np.ndarray:
+        return self.base()[slot] + feature * self.bins()[slot] + number
+
+    def stops(self, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Node that each entry of ``at`` has come to by now."""
+        return self.trees.descend(x, at.astype(np.int64) if self.placed else self.trees.start(at), rows=row)
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(x, y, row, slot)`` of the rows in open nodes; a row is listed once for each tree where it is."""
+        held, size = [], 0
+        for batch in batches:
+            x = matrix(batch.column(1), self.width)
+            y = batch.column(2).to_numpy(zero_copy_only=False)
+            row, at = members(batch.column(0))
+            stop = self.stops(x, row, at)
+            slot = np.where(stop >= 0, self.slot[stop], -1)
             keep = slot >= 0
-            x, y, slot = x[keep], y[keep], slot[keep]
-        bins, base, shift = self.bins()[slot], self.base()[slot], self.shift[slot]
-        cell = np.empty(x.shape, np.int64)
-        for f in range(self.width):
-            number = np.searchsorted(self.edges[f], x[:, f], side="right") >> shift if self.bits else 0
-            cell[:, f] = base + f * bins + number
-        return cell.ravel(), x.ravel(), np.repeat(y, self.width)
-
-    def keys(self, cell: np.ndarray) -> list[pa.Array]:
-        base = self.base()
-        slot = np.searchsorted(base, cell, side="right") - 1
-        feature, number = np.divmod(cell - base[slot], self.bins()[slot])
-        return [pa.array(slot, pa.int32()), pa.array(feature, pa.int32()), pa.array(number, pa.int32())]
+            if not keep.any():
+                continue
+            row, slot = row[keep], slot[keep]
+            live = np.zeros(len(x), bool)
+            live[row] = True
+            if not live.all():
+                x, y, row = x[live], y[live], (np.cumsum(live) - 1)[row]
+            held.append((x, y, row, slot))
+            size += len(slot)
+            if size >= _BLOCK:
+                yield _joined(held)
+                held, size = [], 0
+        if held:
+            yield _joined(held)
+
+    def entries(self, batches: Iterator[pa.RecordBatch], open_cells: np.ndarray | None = None):
+        """``(slot, feature, range, value, rows, target sum)`` of the distinct values of each block, in order of slot and value.
+
+        Only those of open cells (a packed bitmap) where it is given.
+        """
+        for x, y, row, slot in self.blocks(batches):
+            for f in range(self.width):
+                values, code = np.unique(x[:, f], return_inverse=True)
+                number = np.searchsorted(self.edges[f], values, side="right") if self.bits else np.zeros(len(values), np.int64)
+                s, c, yy = slot, code[row], y[row]
+                if open_cells is not None:
+                    cell = self.cell_of(s, f, number[c] >> self.shift[s])
+                    keep = (open_cells[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                    s, c, yy = s[keep], c[keep], yy[keep]
+                key = s * len(values) + c
+                cells = len(self.shift) * len(values)
+                if cells <= 4 * len(key):
+                    m = np.bincount(key, minlength=cells)
+                    seen = np.flatnonzero(m)
+                    m, q = m[seen], np.bincount(key, weights=yy, minlength=cells)[seen]
+                else:
+                    order = np.argsort(key)
+                    key, yy = key[order], yy[order]
+                    at = np.flatnonzero(np.diff(key, prepend=-1))
+                    seen, m = key[at], np.diff(np.append(at, len(key)))
+                    q = np.add.reduceat(yy, at) if len(at) else yy[:0]
+                if len(seen):
+                    s, c = np.divmod(seen, len(values))
+                    yield s, f, number[c] >> self.shift[s], values[c], m, q
+
+
+def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    if len(held) == 1:
+        return held[0]
+    base = np.cumsum([0, *[len(h[0]) for h in held]])
+    rows = [h[2] + b for h, b in zip(held, base)]
+    return np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate(rows), np.concatenate([h[3] for h in held])
 
 
 def range_counts(rows: DataFrame, level: Level) -> DataFrame:
@@ -89,32 +144,33 @@ def range_counts(rows: DataFrame, level: Level) -> DataFrame:
     names = [*RANGE, "m", "q", "lo", "hi"]
 
     def batch_of(cell, m, q, lo, hi) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [*level.keys(cell), pa.array(m, pa.int64()), pa.array(q), pa.array(lo), pa.array(hi)], names
-        )
+        base = level.base()
+        slot = np.searchsorted(base, cell, side="right") - 1
+        feature, number = np.divmod(cell - base[slot], level.bins()[slot])
+        keys = [pa.array(k, pa.int32()) for k in (slot, feature, number)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(m, pa.int64()), pa.array(q), pa.array(lo), pa.array(hi)], names)
+
+    def summed(batches: Iterator[pa.RecordBatch]):
+        for slot, f, number, value, m, q in level.entries(batches):
+            cell = level.cell_of(slot, f, number)  # rises, as slots and values do
+            at = np.flatnonzero(np.diff(cell, prepend=-1))
+            last = np.append(at[1:], len(cell)) - 1
+            yield cell[at], np.add.reduceat(m, at), np.add.reduceat(q, at), value[at], value[last]
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, q = np.zeros(cells, np.int64), np.zeros(cells)
         lo, hi = np.full(cells, np.inf), np.full(cells, -np.inf)
-        for batch in batches:
-            cell, value, y = level.cells(batch)
-            m += np.bincount(cell, minlength=cells)
-            q += np.bincount(cell, weights=y, minlength=cells)
-            np.minimum.at(lo, cell, value)
-            np.maximum.at(hi, cell, value)
+        for cell, m_, q_, lo_, hi_ in summed(batches):
+            m[cell] += m_
+            q[cell] += q_
+            lo[cell] = np.minimum(lo[cell], lo_)
+            hi[cell] = np.maximum(hi[cell], hi_)
         seen = np.flatnonzero(m)
         yield batch_of(seen, m[seen], q[seen], lo[seen], hi[seen])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, value, y = level.cells(batch)
-            order = np.argsort(cell, kind="stable")
-            cell, value, y = cell[order], value[order], y[order]
-            if len(cell):
-                seen, at, m = np.unique(cell, return_index=True, return_counts=True)
-                yield batch_of(
-                    seen, m, np.add.reduceat(y, at), np.minimum.reduceat(value, at), np.maximum.reduceat(value, at)
-                )
+        for found in summed(batches):
+            yield batch_of(*found)
 
     found = rows.mapInArrow(
         dense if cells <= _DENSE_CELLS else sparse,
@@ -126,41 +182,34 @@ def range_counts(rows: DataFrame, level: Level) -> DataFrame:
 
 
 def value_counts(rows: DataFrame, level: Level, open_cells: np.ndarray | None = None) -> DataFrame:
-    """(slot, feature, range, value, m, q) of the open cells (all when None).
+    """(slot, feature, range, value, m, q) of the open cells, a packed bitmap (all when None).
 
-    Copies of a value are collapsed per batch and again before the shuffle, so a
+    Copies of a value are collapsed per block and again before the shuffle, so a
     value shared by a third of all rows costs a few rows per task.
     """
+    return value_entries(rows, level, open_cells).groupBy(*RANGE, "value").agg(F.sum("m").alias("m"), F.sum("q").alias("q"))
+
+
+def value_entries(rows: DataFrame, level: Level, open_cells: np.ndarray | None = None) -> DataFrame:
+    """``value_counts`` before its parts are added up: a value stands once per block that has it."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, value, y = level.cells(batch)
-            if open_cells is not None:
-                keep = open_cells[cell]
-                cell, value, y = cell[keep], value[keep], y[keep]
-            cell, value, m, q = combined(cell, value, y)
-            yield pa.RecordBatch.from_arrays(
-                [*level.keys(cell), pa.array(value), pa.array(m, pa.int64()), pa.array(q)], [*RANGE, "value", "m", "q"]
-            )
+        for slot, f, number, value, m, q in level.entries(batches, open_cells):
+            keys = [pa.array(slot, pa.int32()), pa.array(np.full(len(slot), f), pa.int32()), pa.array(number, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(value), pa.array(m, pa.int64()), pa.array(q)], [*RANGE, "value", "m", "q"])
 
-    found = rows.mapInArrow(entries, "slot int, feature int, range int, value double, m bigint, q double")
-    return found.groupBy(*RANGE, "value").agg(F.sum("m").alias("m"), F.sum("q").alias("q"))
+    return rows.mapInArrow(entries, "slot int, feature int, range int, value double, m bigint, q double")
 
 
 def scored_ranges(counts: DataFrame, totals: DataFrame, kind: str, y_min: float, y_max: float) -> DataFrame:
     """Per range: exact criterion of the cut behind it, lower bound of the cuts inside it.
 
-    ``totals`` holds (slot, n, s). One window per slot over (feature, range), at most
-    features x ranges rows. Every feature adds up to the slot's own totals, so the
-    running sums of a feature are those of the whole line less the features before it.
+    ``totals`` holds (slot, n, s). One window per slot and feature, over at most its ranges.
     """
-    line = "partition by slot order by feature, range"
+    line = "partition by slot, feature order by range"
     upto = f"over ({line} rows between unbounded preceding and current row)"
     cells = counts.join(totals, "slot").selectExpr(
-        "*",
-        f"sum(m) {upto} - n * feature as n_left",
-        f"sum(q) {upto} - s * feature as s_left",
-        f"case when lead(feature) over ({line}) = feature then lead(lo) over ({line}) end as next_value",
+        "*", f"sum(m) {upto} as n_left", f"sum(q) {upto} as s_left", f"lead(lo) over ({line}) as next_value"
     )
     cells = cells.selectExpr("*", "n_left - m as before_n", "s_left - q as before_s")
     if y_max > y_min:
@@ -189,7 +238,8 @@ def scored_ranges(counts: DataFrame, totals: DataFrame, kind: str, y_min: float,
 
 def kept_ranges(scored: DataFrame) -> DataFrame:
     """The best boundary cuts of each slot and the ranges that may hold a better cut."""
-    return scored.selectExpr("*", "min(criterion) over (partition by slot) as best").selectExpr(
+    best = scored.groupBy("slot").agg(F.min("criterion").alias("best"))
+    return scored.join(best, "slot").selectExpr(
         "*",
         "coalesce(criterion = best, false) as at_boundary",
         f"bound is not null and (best is null or bound <= best + abs(best) * {_SLACK}D + {_SLACK}D) as inside",
@@ -250,8 +300,100 @@ def _cuts_of(table: pa.Table) -> dict[int, tuple]:
     return best
 
 
-def outright_splits(rows: DataFrame, level: Level, totals: DataFrame, kind: str) -> dict[int, tuple]:
-    return _cuts_of(best_cuts(candidates(value_counts(rows, level), totals, kind)).toArrow())
+def side_of(kind: str, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """``functions.impurity.side`` over arrays: weighted impurity of a side of ``n`` rows and target sum ``s``."""
+    some = np.maximum(n, 1e-300)
+    if kind == "gini":
+        out = s * (n - s) / some
+    elif kind == "entropy":
+        xlogx = lambda part: np.where(part > 0, part * np.log(np.where(part > 0, part, 1.0) / some), 0.0)
+        out = -(xlogx(s) + xlogx(n - s))
+    elif kind == "variance":
+        out = -(s * s / some)
+    else:
+        raise ValueError(f"unknown impurity {kind!r}")
+    return np.where(n > 0, out, 0.0)
+
+
+def criterion_of(kind: str, n_left: np.ndarray, s_left: np.ndarray, n: np.ndarray, s: np.ndarray) -> np.ndarray:
+    n_left, n = n_left.astype(np.float64), n.astype(np.float64)
+    return side_of(kind, n_left, s_left) + side_of(kind, n - n_left, s - s_left)
+
+
+def _first_least(slot: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Of rows in order of slot, feature and value: the first of the least score of each slot."""
+    starts = np.flatnonzero(np.diff(slot, prepend=-1))
+    least = np.repeat(np.minimum.reduceat(score, starts), np.diff(np.append(starts, len(slot))))
+    at = np.flatnonzero(score == least)
+    return at[np.flatnonzero(np.diff(slot[at], prepend=-1))]
+
+
+_CUTS_DDL = "slot int, criterion double, feature int, value double, next_value double, n_left bigint, s_left double"
+
+
+def best_values(entries: DataFrame, n: np.ndarray, s: np.ndarray, kind: str, before: tuple[np.ndarray, np.ndarray, Level] | None = None) -> dict[int, tuple]:
+    """Best cut of each slot between values of one range, from (slot, feature, range, value, m, q) with values repeated.
+
+    ``n`` and ``s`` are the slots' rows and target sums, ``before`` what lies left of each cell.
+    A range's entries come to one task, sorted; a task holds one range at a time at most.
+    """
+    parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def cuts(table: pa.Table) -> pa.RecordBatch | None:
+        slot, feature, number = (table.column(c).to_numpy().astype(np.int64) for c in RANGE)
+        value, m, q = (table.column(c).to_numpy() for c in ("value", "m", "q"))
+        group = np.ones(len(slot), bool)
+        group[1:] = (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1]) | (number[1:] != number[:-1])
+        at = np.flatnonzero(group | np.append(True, value[1:] != value[:-1]))
+        m, q = np.cumsum(np.add.reduceat(m, at)), np.cumsum(np.add.reduceat(q, at))
+        slot, feature, number, value, group = slot[at], feature[at], number[at], value[at], group[at]
+        start = np.flatnonzero(group)
+        sizes = np.diff(np.append(start, len(slot)))
+        m = m - np.repeat(np.append(0, m[start[1:] - 1]), sizes)
+        q = q - np.repeat(np.append(0.0, q[start[1:] - 1]), sizes)
+        keep = np.flatnonzero(~np.append(group[1:], True))
+        if not len(keep):
+            return None
+        slot, feature, number, low, high, m, q = slot[keep], feature[keep], number[keep], value[keep], value[keep + 1], m[keep], q[keep]
+        if before is not None:
+            cell = before[2].cell_of(slot, feature, number)
+            m, q = m + before[0][cell], q + before[1][cell]
+        score = criterion_of(kind, m, q, n[slot], s[slot])
+        best = _first_least(slot, score)
+        columns = [pa.array(slot[best], pa.int32()), pa.array(score[best]), pa.array(feature[best], pa.int32()), pa.array(low[best]), pa.array(high[best])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(m[best], pa.int64()), pa.array(q[best])], ["slot", *_CUT])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Ranges end where the keys change; the last one of a batch may go on.
+            keys = [batch.column(c).to_numpy() for c in RANGE]
+            changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            other = bool(held) and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in RANGE)
+            end = int(changes[-1]) if len(changes) else 0
+            if (end or other) and rows + end >= 50_000:
+                found = cuts(pa.Table.from_batches([*held, batch.slice(0, end)]))
+                if found:
+                    yield found
+                held, rows = [], 0
+                batch = batch.slice(end)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            found = cuts(pa.Table.from_batches(held))
+            if found:
+                yield found
+
+    dealt = entries.repartition(parts, *RANGE).sortWithinPartitions(*RANGE, "value").mapInArrow(run, _CUTS_DDL)
+    per_slot = dealt.groupBy("slot").agg(F.min(F.struct(*_CUT)).alias("b")).select("slot", "b.*")
+    return _cuts_of(per_slot.toArrow())
+
+
+def outright_splits(rows: DataFrame, level: Level, n: np.ndarray, s: np.ndarray, kind: str) -> dict[int, tuple]:
+    return best_values(value_entries(rows, level), n, s, kind)
 
 
 def boundary_splits(rows: DataFrame, level: Level, totals: DataFrame, kind: str, y_min: float, y_max: float) -> dict[int, tuple]:
@@ -260,35 +402,87 @@ def boundary_splits(rows: DataFrame, level: Level, totals: DataFrame, kind: str,
     return _cuts_of(best_cuts(scored.where("criterion is not null")).toArrow())
 
 
+def _driver_ranges(counts: pa.Table, level: Level, n: np.ndarray, s: np.ndarray, kind: str, y_min: float, y_max: float):
+    """``scored_ranges`` and ``kept_ranges`` of a histogram that fits the driver: best boundary cuts, open cells and what lies left of each cell."""
+    order = np.lexsort([counts.column(c).to_numpy() for c in reversed(RANGE)])
+    slot, feature, number, m, q, lo, hi = (counts.column(c).to_numpy()[order] for c in [*RANGE, "m", "q", "lo", "hi"])
+    slot, feature, number = (k.astype(np.int64) for k in (slot, feature, number))
+    line = np.ones(len(slot), bool)
+    line[1:] = (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1])
+    start = np.flatnonzero(line)
+    sizes = np.diff(np.append(start, len(slot)))
+    n_left, s_left = np.cumsum(m), np.cumsum(q)
+    n_left = n_left - np.repeat(np.append(0, n_left[start[1:] - 1]), sizes)
+    s_left = s_left - np.repeat(np.append(0.0, s_left[start[1:] - 1]), sizes)
+    before_n, before_s = n_left - m, s_left - q
+    best: dict[int, tuple] = {}
+    cut = np.flatnonzero(~np.append(line[1:], True))
+    if len(cut):
+        score = criterion_of(kind, n_left[cut], s_left[cut], n[slot[cut]], s[slot[cut]])
+        for i, j in zip(_first_least(slot[cut], score), cut[_first_least(slot[cut], score)]):
+            best[int(slot[j])] = (float(score[i]), int(feature[j]), float(hi[j]), float(lo[j + 1]), int(n_left[j]), float(s_left[j]))
+    span = y_max - y_min
+    high = (q - m * y_min) / span if span > 0 else np.zeros(len(m))
+    low = m - high if span > 0 else np.zeros(len(m))
+    corners = [(before_n, before_s), (n_left, s_left), (before_n + high, before_s + high * y_max), (before_n + low, before_s + low * y_min)]
+    bound = np.min([criterion_of(kind, a, b, n[slot], s[slot]) for a, b in corners], axis=0)
+    limit = np.array([best[i][0] if i in best else np.inf for i in range(len(n))])[slot]
+    inside = (lo < hi) & (bound <= limit + np.abs(limit) * _SLACK + _SLACK)
+    cells = int(level.base()[-1])
+    cell = level.cell_of(slot, feature, number)
+    bits = np.zeros(8 * (cells // 8 + 1), bool)
+    bits[cell[inside]] = True
+    left_n, left_s = np.zeros(cells, np.int64), np.zeros(cells)
+    left_n[cell], left_s[cell] = before_n, before_s
+    return best, np.packbits(bits, bitorder="little"), (left_n, left_s), int(inside.sum())
+
+
 def bounded_splits(
-    rows: DataFrame, level: Level, totals: DataFrame, kind: str, y_min: float, y_max: float, limit: int
+    rows: DataFrame, level: Level, totals: DataFrame, n: np.ndarray, s: np.ndarray, kind: str, y_min: float, y_max: float, limit: int
 ) -> dict[int, tuple]:
-    """Best cut of each slot, expanding only the ranges that can hold it.
+    """Best cut of each slot, expanding only the ranges that can hold it, whatever their number.
 
-    With at most ``limit`` histogram cells the kept ranges come to the driver and
-    the open ones are named to the tasks. Beyond that they stay a table: all
-    entries are expanded and joined with it, which finds the same cuts.
+    Tasks are told the open ranges as a bitmap, one bit per histogram cell. A histogram of at most
+    ``limit`` cells is judged on the driver; of a larger one only the bitmap comes there.
     """
-    kept = kept_ranges(scored_ranges(range_counts(rows, level), totals, kind, y_min, y_max))
-    shape = [*RANGE, *[c for c in _CUT if c not in RANGE]]
-    before = [*RANGE, "before_n", "before_s"]
-    cells = int(level.base()[-1])
-    if cells > limit:
-        kept = kept.persist()
-        inside = kept.where("inside").select(*before)
-        inner = candidates(value_counts(rows, level), totals, kind, small_side(inside, inside.count()))
-        found = _cuts_of(best_cuts(inner.select(*shape).unionByName(kept.where("at_boundary").select(*shape))).toArrow())
+    if int(level.base()[-1]) <= limit:
+        best, open_cells, before, open_ = _driver_ranges(range_counts(rows, level).toArrow(), level, n, s, kind, y_min, y_max)
+        found = best_values(value_entries(rows, level, open_cells), n, s, kind, (*before, level)) if open_ else {}
+        for slot, cut in found.items():
+            best[slot] = min(cut, best.get(slot, cut))
+        return best
+    kept = kept_ranges(scored_ranges(range_counts(rows, level), totals, kind, y_min, y_max)).persist()
+    try:
+        best = _cuts_of(best_cuts(kept.where("at_boundary")).toArrow())
+        inside = kept.where("inside").select(*RANGE, "before_n", "before_s")
+        open_cells, open_ = _bitmap(inside, level)
+        if open_:
+            found = best_cuts(candidates(value_counts(rows, level, open_cells), totals, kind, small_side(inside, open_)))
+            for slot, cut in _cuts_of(found.toArrow()).items():
+                best[slot] = min(cut, best.get(slot, cut))
+        return best
+    finally:
         kept.unpersist()
-        return found
-    local = kept.toArrow()
-    best = _cuts_of(local.filter(local.column("at_boundary")))
-    inside = local.filter(local.column("inside")).select(before)
-    if inside.num_rows:
-        slot, feature, number = (inside.column(c).to_numpy() for c in RANGE)
-        open_cells = np.zeros(cells, bool)
-        open_cells[level.base()[slot] + feature * level.bins()[slot] + number] = True
-        counts = value_counts(rows, level, open_cells)
-        offsets = small_side(rows.sparkSession.createDataFrame(inside), inside.num_rows)
-        for s, cut in _cuts_of(best_cuts(candidates(counts, totals, kind, offsets)).toArrow()).items():
-            best[s] = min(cut, best.get(s, cut))
-    return best
+
+
+def _bitmap(ranges: DataFrame, level: Level) -> tuple[np.ndarray, int]:
+    """Packed bits of the cells of ``ranges``, and how many there are; tasks send bytes of it."""
+    cells = int(level.base()[-1])
+    check_model_size(cells // 64 + 1, "bitmap of the open ranges")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot, feature, number = (batch.column(c).to_numpy().astype(np.int64) for c in RANGE)
+            cell = level.cell_of(slot, feature, number)
+            at, inverse = np.unique(cell >> 3, return_inverse=True)
+            out = np.zeros(len(at), np.int64)
+            np.bitwise_or.at(out, inverse, np.int64(1) << (cell & 7))
+            count = np.bincount(inverse, minlength=len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out), pa.array(count, pa.int64())], ["at", "bits", "n"])
+
+    found = ranges.select(*RANGE).mapInArrow(bits, "at long, bits long, n long").groupBy("at").agg(
+        F.bit_or("bits").alias("bits"), F.sum("n").alias("n")
+    ).toArrow()
+    packed = np.zeros(cells // 8 + 1, np.uint8)
+    packed[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
+    return packed, int(found.column("n").to_numpy().sum())

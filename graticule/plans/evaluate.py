@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions.dense import FlatTrees, matrix
 from graticule.functions.hashing import group_of
-from graticule.operators.sampling import GROUPS_SALT, explode_training_folds, training_folds
+from graticule.operators.sampling import GROUPS_SALT, other_folds, training_folds
 from graticule.operators.scans import running_sums
 from graticule.plans.tree import TreeModel, predict, train_trees
 
@@ -28,11 +28,11 @@ def cross_validate(
 ) -> tuple[DataFrame, TreeModel]:
     """Accuracy per fold; all folds' trees grow together.
 
-    Each row trains the ``folds - 1`` trees of the other folds and is tested by its
-    own. Pass ``fold`` to use an existing fold column.
+    Each row trains the ``folds - 1`` trees of the other folds, read once for all of them, and is
+    tested by its own. Pass ``fold`` to use an existing fold column.
     """
     marked = rows.withColumn("fold", F.col(fold)) if fold else training_folds(rows, key, folds, seed)
-    model = train_trees(explode_training_folds(marked, folds), **options)
+    model = train_trees(marked.withColumn("tree_ids", other_folds(folds)), **options)
     tested = predict(marked.withColumn("tree_id", F.col("fold")), model)
     return accuracy(tested, ["fold"]), model
 
@@ -51,14 +51,14 @@ def repeated_holdout(
     Every seed draws its own split and its own groups. All forests grow in one
     training call to the largest depth; a smaller depth is the same forest cut off.
     """
-    runs = []
+    training, testing = [], []
     for i, seed in enumerate(seeds):
-        train = (group_of(*key, groups=100, seed=seed) < train_percent).alias("is_train")
-        tree_id = (F.lit(i * trees) + group_of(*key, groups=trees, seed=seed + GROUPS_SALT)).alias("tree_id")
-        runs.append(F.struct(F.lit(i).alias("run"), train, tree_id))
-    marked = rows.select("features", "label", F.explode(F.array(*runs)).alias("r")).select("features", "label", "r.*")
-    model = train_trees(marked.where("is_train"), max_depth=max(depths), **options)
-    tested = marked.where("not is_train").select(
+        is_train = group_of(*key, groups=100, seed=seed) < train_percent
+        training.append(F.when(is_train, F.lit(i * trees) + group_of(*key, groups=trees, seed=seed + GROUPS_SALT)))
+        testing.append(F.when(~is_train, F.lit(i)))
+    marked = rows.select("features", "label", F.array_compact(F.array(*training)).alias("tree_ids"), F.array_compact(F.array(*testing)).alias("runs"))
+    model = train_trees(marked, max_depth=max(depths), **options)
+    tested = marked.select("features", "label", F.explode("runs").alias("run")).select(
         "run", "label", F.explode_outer(_votes_by_depth(model, trees, sorted(depths))).alias("v")
     )
     scored = tested.select("run", "label", "v.depth", F.when(2 * F.col("v.votes") > F.col("v.trees"), 1).otherwise(0).alias("prediction"))

@@ -2,16 +2,18 @@
 
 A tree is a *key*, not a task: the passes of one level serve every node of every
 tree, so a forest, a cross-validation or a grid of runs is one training call
-over rows with different ``tree_id`` values. The rows are never rewritten or
-moved: each pass sends them down the splits chosen so far, which are a small
-model held by the driver, and shuffles only aggregates.
+over rows with different ``tree_id`` values, or with an array of them. Each pass
+sends the rows down the splits chosen so far, which are a small model held by the
+driver, and shuffles only aggregates. Once half of the rows stand in finished nodes, the
+others are written to the shared folder with the nodes they have come to, so that
+all passes together read each row a bounded number of times beyond its own depth.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.functions.dense import FlatTrees, matrix
+from graticule.functions.dense import FlatTrees, matrix, members
 from graticule.functions.impurity import gain
 from graticule.operators.scans import range_edges, running_sums
 from graticule.operators.splits import Level, boundary_splits, bounded_splits, outright_splits
-from graticule.session import BROADCAST_ROWS, check_model_size, small_side
+from graticule.session import BROADCAST_ROWS, check_model_size, small_side, written
 
 # Nodes up to this many rows are searched outright.
 OUTRIGHT_ROWS = 200_000
@@ -102,6 +104,7 @@ def train_trees(
 ) -> TreeModel:
     """Grow one tree per ``tree_id`` (a single tree when the column is absent).
 
+    An array column ``tree_ids`` lets a row train several trees; it is read and sent to Python once for all of them.
     ``max_depth`` counts levels including leaves. ``search`` is ``exact`` or
     ``histogram`` (only cuts at value-range boundaries, from ``edges`` per feature
     or at exact quantile ranks of each feature over all rows).
@@ -110,9 +113,12 @@ def train_trees(
     """
     if search not in ("exact", "histogram"):
         raise ValueError("search must be 'exact' or 'histogram'")
-    tree = F.col("tree_id").cast("int") if "tree_id" in rows.columns else F.lit(0)
+    if "tree_ids" in rows.columns:
+        at = F.col("tree_ids").cast("array<int>")
+    else:
+        at = F.array(F.col("tree_id").cast("int") if "tree_id" in rows.columns else F.lit(0))
     rows = rows.select(
-        tree.alias("tree_id"),
+        at.alias("at"),
         F.col(features).cast("array<double>").alias("features"),
         F.col(label).cast("double").alias("y"),
     )
@@ -131,11 +137,12 @@ def _grow(
     edges: Sequence[Sequence[float]] | None, outright_rows: int,
 ) -> TreeModel:
     spark = rows.sparkSession
-    totals = rows.groupBy("tree_id").agg(
+    light = rows.select(F.explode("at").alias("tree_id"), "y", F.size("features").alias("width"))
+    totals = light.groupBy("tree_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("y").alias("labelled"),
         F.sum("y").alias("s"),
-        F.max(F.size("features")).alias("width"),
+        F.max("width").alias("width"),
         F.min("y").alias("y_min"),
         F.max("y").alias("y_max"),
     ).collect()
@@ -175,6 +182,8 @@ def _grow(
 
     active = {(t["tree_id"], 0): (t["n"], t["s"]) for t in totals}
     nodes: list[Node] = []
+    # Rows times trees that the table of rows holds; rewritten without its finished rows once half are finished.
+    held, placed = sum(t["n"] for t in totals), False
     for level in range(max_depth):
         # Every active node starts as a leaf and becomes a split if a cut is found.
         first = len(nodes)
@@ -192,21 +201,20 @@ def _grow(
         slot = np.full(len(nodes), -1, np.int64)
         slot[is_open] = np.arange(len(is_open))
         shift = np.array([shift_of(nodes[j].n) for j in is_open], np.int64)
-        here = Level(FlatTrees(nodes), slot, shift, cuts, width, bits)
-        known = pa.table(
-            {
-                "slot": pa.array(range(len(is_open)), pa.int32()),
-                "n": pa.array([nodes[j].n for j in is_open], pa.int64()),
-                "s": pa.array([nodes[j].s for j in is_open], pa.float64()),
-            }
-        )
+        here = Level(FlatTrees(nodes), slot, shift, cuts, width, bits, placed)
+        going = sum(nodes[j].n for j in is_open)
+        if level and 2 * going <= held:
+            rows, held, placed = written(_placed(rows, here), "tree-rows"), going, True
+            here = replace(here, placed=True)
+        n, s = np.array([nodes[j].n for j in is_open], np.int64), np.array([nodes[j].s for j in is_open], np.float64)
+        known = pa.table({"slot": pa.array(range(len(is_open)), pa.int32()), "n": pa.array(n), "s": pa.array(s)})
         sums = small_side(spark.createDataFrame(known), len(is_open))
         if search == "histogram":
             found = boundary_splits(rows, here, sums, impurity, y_min, y_max)
         elif (shift == bits).all():
-            found = outright_splits(rows, here, sums, impurity)
+            found = outright_splits(rows, here, n, s, impurity)
         else:
-            found = bounded_splits(rows, here, sums, impurity, y_min, y_max, BROADCAST_ROWS)
+            found = bounded_splits(rows, here, sums, n, s, impurity, y_min, y_max, BROADCAST_ROWS)
         active = {}
         for s, (score, feature, value, next_value, n_left, s_left) in sorted(found.items()):
             j = is_open[s]
@@ -225,6 +233,22 @@ def _grow(
     return TreeModel(nodes)
 
 
+def _placed(rows: DataFrame, level: Level) -> DataFrame:
+    """The rows of open nodes, each with the nodes it has come to: later passes go on from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1), level.width)
+            row, at = members(batch.column(0))
+            stop = level.stops(x, row, at)
+            keep = (stop >= 0) & (level.slot[stop] >= 0)
+            sizes = np.bincount(row[keep], minlength=len(x))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(stop[keep], pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, batch.column(1), batch.column(2)], batch.schema.names).filter(pa.array(sizes > 0))
+
+    return rows.mapInArrow(run, "at array<int>, features array<double>, y double")
+
+
 def rank_edges(rows: DataFrame, width: int, ranges: int) -> list[list[float]]:
     """Inner edges at the values of ranks ``k n / ranges`` of each feature, and the value after one that fills a whole range.
 
