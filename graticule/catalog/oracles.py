@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from graticule.catalog.queries import GRID, LINE_EDGES
+from graticule.catalog.queries import BATCHES, GRID, LINE_EDGES
 from graticule.catalog.sql import (
     group_of,
     hashed,
@@ -15,6 +15,7 @@ from graticule.catalog.sql import (
     units_cte,
     walk_ctes,
 )
+from graticule.functions.schedules import decayed
 from graticule.functions.text import CHARACTERS, WORDS
 from graticule.operators.sampling import FOLDS_SALT, GROUPS_SALT
 
@@ -167,6 +168,36 @@ def _reduced_error() -> str:
     )
 
 
+def _batches(stream: str) -> str:
+    """The map blended over three batches, sigma and eta decaying from one to the next."""
+    parts, before = [stream], "cb0"
+    for t in range(BATCHES):
+        eta = decayed(t, 0.5, 0.01, 4.0)
+        parts.append(f"e{t} AS (SELECT * FROM base WHERE id % {BATCHES} = {t})")
+        parts.append(step_ctes(f"e{t}", COLS, decayed(t, 2.0, 0.1, 4.0), before, f"t{t}"))
+        parts.append(
+            f"mixed{t} AS (SELECT a.neuron, list_transform(list_zip(a.w, b.w), lambda p: p[1] + {eta!r} * (p[2] - p[1])) AS w "
+            f"FROM {before} a JOIN t{t} b USING (neuron))"
+        )
+        before = f"mixed{t}"
+    return ",\n".join(parts) + f"\n{_weights(before)}"
+
+
+def _ranked_tree(ranges: int = 32, most: int = 64) -> str:
+    """The histogram tree whose edges are the values of ranks k n / ranges, and the next value after one that fills a range."""
+    edge = lambda f, k: f"coalesce((SELECT v FROM edges WHERE feature = {f} AND k = {k}), 'Infinity'::DOUBLE)"
+    edges = [[edge(f, k) for k in range(1, most + 1)] for f in range(4)]
+    return f"""
+    WITH vals AS (SELECT feature, x[feature + 1] AS v, count(*) AS c FROM {LINES}, (SELECT unnest(range(4)) AS feature) GROUP BY ALL),
+    runs AS (SELECT *, sum(c) OVER w AS upto, sum(c) OVER (PARTITION BY feature) AS n, lead(v) OVER w AS after FROM vals WINDOW w AS (PARTITION BY feature ORDER BY v)),
+    crossed AS (SELECT * FROM runs WHERE least(upto * {ranges} // n, {ranges - 1}) > (upto - c) * {ranges} // n),
+    every AS (SELECT feature, v FROM crossed UNION SELECT feature, after FROM crossed WHERE c * {ranges} >= n AND after IS NOT NULL),
+    edges AS (SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS k FROM every),
+    base AS (SELECT 0 AS tree_id, x, y FROM {LINES}),
+    {tree_ctes("base", 4, 3, edges=edges)}
+    {NODES}"""
+
+
 def _cross_validation() -> str:
     marked = hashed(LINES, ["l_orderkey", "line"], str(1 + FOLDS_SALT))
     return (
@@ -288,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "csv_scan": f"SELECT (l_returnflag = 'R')::DOUBLE AS label, {columns} FROM lineitem",
         "whitespace_scan": "SELECT o_orderkey::DOUBLE AS o_orderkey, o_custkey::DOUBLE AS o_custkey, o_totalprice FROM orders",
+        "in_memory_samples": "SELECT id, (n % 2)::INTEGER AS label, unnest([0, 1])::INTEGER AS component, unnest([round(mean, 4), n::DOUBLE]) AS value FROM "
+        "(SELECT row_number() OVER (ORDER BY o_orderpriority) - 1 AS id, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY o_orderpriority)",
         "label_by_position": "SELECT event_id, value, (row_number() OVER (ORDER BY event_id) <= 36)::INTEGER AS label FROM events",
         "uniform_vectors": f"SELECT o_orderkey, k::INTEGER AS component, {unit('h')} AS value FROM "
         + hashed("(SELECT o_orderkey, unnest(range(4)) AS k FROM orders)", ["o_orderkey", "k"], "5"),
@@ -377,6 +410,7 @@ def oracle_sql() -> dict[str, str]:
         "incremental_som": f"{stream},\n{step_ctes('base', COLS, 2.0, 'cb0', 'cb1')},\n"
         "mixed AS (SELECT a.neuron, list_transform(list_zip(a.w, b.w), lambda p: p[1] + 0.5 * (p[2] - p[1])) AS w "
         f"FROM cb0 a JOIN cb1 b USING (neuron))\n{_weights('mixed')}",
+        "incremental_som_batches": _batches(stream),
         "streaming_scoring": f"{stream},\n{units_cte('base', 'cb0', 'u')}\nSELECT id AS event_id, bmu, round(distance, 6) AS distance FROM u",
         "split_candidates": f"WITH base AS (SELECT 0 AS tree_id, x, y FROM {LINES}),\n{tree_ctes('base', 4, 2)}\n"
         "SELECT feature, round((value + next_value) / 2, 6) AS threshold, n_left::BIGINT AS n_left, s_left, (n - n_left)::BIGINT AS n_right, "
@@ -387,6 +421,7 @@ def oracle_sql() -> dict[str, str]:
         "decision_tree_entropy": _tree(ORDERS, 2, 3, kind="entropy"),
         "decision_tree_min_gain": _tree(SIGNAL, 4, 4, min_gain=0.0005),
         "regression_tree": _tree("(SELECT [l_quantity, l_discount, l_tax] AS x, l_linenumber AS y FROM lineitem)", 3, 4, kind="variance"),
+        "histogram_tree_default_edges": _ranked_tree(),
         "histogram_tree": _tree(LINES, 4, 4, edges=LINE_EDGES),
         "text_quality_tree": f"WITH {_text_features()},\nbase AS (SELECT 0 AS tree_id, list_concat(list_concat(word_freqs, char_freqs), "
         "[run_average, run_longest::DOUBLE, run_total::DOUBLE]) AS x, quality AS y FROM feats JOIN labels USING (doc_id)),\n"

@@ -30,6 +30,7 @@ from graticule.streaming.incremental_som import IncrementalSom, load_snapshot, s
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_KEY = ["l_orderkey", "line"]
 GRID = (4, 5)
+BATCHES = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +106,14 @@ def whitespace_scan(spark, d):
     return D.read_whitespace(spark, path, ["o_orderkey", "o_custkey", "o_totalprice"])
 
 
+def in_memory_samples(spark, d):
+    """One sample per order priority, from a handful of means held in memory."""
+    orders = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.count(F.lit(1)).alias("n"))
+    held = [(r["mean"], r["n"]) for r in orders.orderBy("o_orderpriority").collect()]
+    samples = D.from_rows(spark, held, [int(n % 2) for _, n in held])
+    return samples.select("id", "label", F.posexplode("features").alias("component", "value")).withColumn("value", F.round("value", 4))
+
+
 def label_by_position(spark, d):
     events = table(spark, d, "events").select("event_id", "value")
     return D.label_by_position(events, ["event_id"], 36)
@@ -472,6 +481,18 @@ def incremental_som(spark, d):
     return weights(load_snapshot(spark, f"{path}/snapshots", 0, *GRID), spark)
 
 
+def incremental_som_batches(spark, d):
+    """Three batches of events that arrive one after the other, the stream restarted from its checkpoint for each; the last map."""
+    path = scratch_path(spark, "batches")
+    events = table(spark, d, "events").select("event_id", "value", "ts")
+    job = IncrementalSom(Codebook.random(spark, *GRID, 2, 3), f"{path}/snapshots", sigma_0=2.0, eta_0=0.5, tau=4.0)
+    for i in range(BATCHES):
+        events.where(F.pmod("event_id", F.lit(BATCHES)) == i).write.parquet(f"{path}/events/{i}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/events/*").select("event_id", _event_features())
+        job.start(stream, f"{path}/checkpoint", available_now=True).awaitTermination()
+    return weights(load_snapshot(spark, f"{path}/snapshots", BATCHES - 1, *GRID), spark)
+
+
 def streaming_scoring(spark, d):
     path = scratch_path(spark, "scored")
     scored = score_stream(_event_stream(spark, d), Codebook.random(spark, *GRID, 2, 3)).select(
@@ -488,9 +509,11 @@ def streaming_scoring(spark, d):
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return stream.select(
-        "event_id", F.array(F.col("value") / 100.0, F.hour("ts").cast("double") / 24.0).alias("features")
-    )
+    return stream.select("event_id", _event_features())
+
+
+def _event_features():
+    return F.array(F.col("value") / 100.0, F.hour("ts").cast("double") / 24.0).alias("features")
 
 
 # --- trees and forests -------------------------------------------------------
@@ -539,6 +562,11 @@ def regression_tree(spark, d):
 LINE_EDGES = [[10.0, 20.0, 30.0, 40.0], [20000.0, 40000.0, 60000.0, 80000.0], [0.025, 0.055], [0.015, 0.035, 0.055]]
 
 
+def histogram_tree_default_edges(spark, d):
+    """Cuts only at the quantile ranks of all rows, which the trainer selects itself."""
+    return nodes(train_trees(lines(spark, d), max_depth=3, search="histogram"), spark)
+
+
 def histogram_tree(spark, d):
     return nodes(train_trees(lines(spark, d), max_depth=4, search="histogram", edges=LINE_EDGES), spark)
 
@@ -638,7 +666,7 @@ def cost_complexity_sequence(spark, d):
 
 
 QUERIES = [
-    csv_scan, whitespace_scan, label_by_position, uniform_vectors, model_round_trip,
+    csv_scan, whitespace_scan, label_by_position, in_memory_samples, uniform_vectors, model_round_trip,
     label_last, vector_round_trip, standard_scale, standard_scale_vectors, range_scale, attribute_lists, pivot_lists,
     encode_label, attribute_profile, class_distribution, missing_values, word_frequencies, char_frequencies, capital_runs,
     prefix_sum, prefix_sum_by_row, prefix_sum_with_criterion, stable_partition, row_positions, feature_argsort,
@@ -647,9 +675,9 @@ QUERIES = [
     poisson_sample, sample_fractions, holdout_split, random_groups, cross_validation, repeated_holdout,
     som_unit_sums, som_update_join, som_training, som_training_switched, som_training_subsets, som_by_fraction, forest_large_nodes, even_groups_after_split, som_best_units,
     som_quality, som_clusters, som_weight_mosaic, som_distance_map, som_density_map, som_classification,
-    incremental_som, streaming_scoring,
+    incremental_som, incremental_som_batches, streaming_scoring,
     split_candidates, root_split, decision_tree, decision_tree_min_samples, decision_tree_entropy, decision_tree_min_gain,
-    regression_tree, histogram_tree, text_quality_tree, tree_prediction, tree_expression_prediction, tree_accuracy,
+    regression_tree, histogram_tree, histogram_tree_default_edges, text_quality_tree, tree_prediction, tree_expression_prediction, tree_accuracy,
     random_forest, forest_votes, forest_votes_expression, forest_accuracy, forest_roc, value_roc, impurities,
     validation_counts, reduced_error_pruning, cost_complexity_pruning, cost_complexity_sequence,
 ]

@@ -6,6 +6,7 @@ aggregate). Everything after that is arithmetic on the node table.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -114,35 +115,64 @@ def cost_complexity(model: TreeModel, counts: DataFrame) -> tuple[TreeModel, lis
     ratio 0. Equal errors prefer the smaller tree.
     """
     steps, best_nodes = [], []
-    branches = _branches(model, counts)
-    for tree_id in model.tree_ids:
-        own = TreeModel([r for r in model.nodes if r.tree_id == tree_id])
-        tree = {k: b for k, b in branches.items() if k[0] == tree_id}
-        order = sorted(tree, key=lambda k: -k[1])
-        for key in order:
-            _settle(tree, key)
-        root = (tree_id, 0, 0)
-        steps.append((tree_id, tree[root].leaves, tree[root].errors, 0.0))
-        best, best_errors = own, tree[root].errors
-        live = [k for k in order if tree[k].row.is_split]
-        while live:
-            ratio, _, _, key = min(
-                ((tree[k].leaf_errors - tree[k].errors) / (tree[k].leaves - 1), k[1], k[2], k) for k in live
-            )
-            tree[key].collapsed = True
-            up = key
-            while True:
-                _settle(tree, up)
-                if up[1] == 0:
-                    break
-                up = (tree_id, up[1] - 1, up[2] // 2)
-            live = [k for k in live if not tree[k].is_leaf and not _below(k, key)]
-            steps.append((tree_id, tree[root].leaves, tree[root].errors, ratio))
-            if tree[root].errors <= best_errors:
-                best, best_errors = _remaining(tree, own), tree[root].errors
-        best_nodes += best.nodes
+    by_tree: dict[int, dict] = {t: {} for t in model.tree_ids}
+    for key, b in _branches(model, counts).items():
+        by_tree[key[0]][key] = b
+    rows: dict[int, list[Node]] = {t: [] for t in model.tree_ids}
+    for r in model.nodes:
+        rows[r.tree_id].append(r)
+    for tree_id, tree in by_tree.items():
+        taken = _weakest_links(tree)
+        steps += [(tree_id, leaves, errors, ratio) for _, leaves, errors, ratio in taken]
+        least = min(errors for _, _, errors, _ in taken)
+        last = max(i for i, step in enumerate(taken) if step[2] == least)
+        gone = {key for key, *_ in taken[1 : last + 1]}
+        for key, b in tree.items():
+            b.collapsed = key in gone
+        best_nodes += _remaining(tree, TreeModel(rows[tree_id])).nodes
     return TreeModel(best_nodes), steps
 
 
-def _below(key: tuple[int, int, int], top: tuple[int, int, int]) -> bool:
-    return key[1] >= top[1] and key[2] >> (key[1] - top[1]) == top[2]
+def _weakest_links(tree: dict[tuple[int, int, int], _Branch]) -> list[tuple]:
+    """``(collapsed split, leaves, errors, ratio)`` of every step, the full tree first.
+
+    A heap holds the splits by ratio. A collapse changes only the path to the root, whose
+    splits are entered anew; entries of gone or changed splits are dropped when they
+    come up. That is n depth log n for n splits.
+    """
+    order = sorted(tree, key=lambda k: -k[1])
+    for key in order:
+        _settle(tree, key)
+    root = order[-1]
+    steps = [(None, tree[root].leaves, tree[root].errors, 0.0)]
+    live = {k for k in order if tree[k].row.is_split}
+
+    def entry(k: tuple[int, int, int]) -> tuple:
+        b = tree[k]
+        return (b.leaf_errors - b.errors) / (b.leaves - 1), k[1], k[2], k
+
+    newest = {k: entry(k) for k in live}
+    heap = list(newest.values())
+    heapq.heapify(heap)
+    while live:
+        ratio, _, _, key = found = heapq.heappop(heap)
+        if key not in live or newest[key] != found:
+            continue
+        tree[key].collapsed = True
+        below = [key]
+        while below:  # every split is taken out once
+            k = below.pop()
+            if k in live:
+                live.discard(k)
+                below += _children(k)
+        up = key
+        while True:
+            _settle(tree, up)
+            if up in live:
+                newest[up] = entry(up)
+                heapq.heappush(heap, newest[up])
+            if up == root:
+                break
+            up = (up[0], up[1] - 1, up[2] // 2)
+        steps.append((key, tree[root].leaves, tree[root].errors, ratio))
+    return steps

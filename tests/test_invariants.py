@@ -330,3 +330,58 @@ def test_array_criteria_equal_the_sql_ones(spark, kind):
     rows = spark.createDataFrame([(i, int(a), float(b), int(c), float(d)) for i, (a, b, c, d) in enumerate(zip(n_left, s_left, n, s_left + s_right))], "i int, n_left long, s_left double, n long, s double")
     wanted = [r[0] for r in rows.orderBy("i").selectExpr(criterion(kind, "n_left", "s_left")).collect()]
     assert found == pytest.approx(wanted, abs=1e-12)
+
+
+def _random_tree(depth, seed):
+    from graticule.plans.prune import _Branch
+    from graticule.plans.tree import Node
+
+    rng, tree = np.random.default_rng(seed), {}
+
+    def grow(level, node):
+        split = level < depth - 1 and (level < 2 or rng.random() < 0.97)
+        tree[0, level, node] = b = _Branch(Node(0, level, node, split, 0 if split else None, 0.0, float(rng.random() < 0.5), 0, 0.0, None))
+        if split:
+            kids = [grow(level + 1, 2 * node), grow(level + 1, 2 * node + 1)]
+            b.n, b.pos = sum(k.n for k in kids), sum(k.pos for k in kids)
+        else:
+            b.n = int(rng.integers(0, 9))
+            b.pos = int(rng.integers(0, b.n + 1))
+        return b
+
+    grow(0, 0)
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_weakest_links_equal_a_full_search_at_every_step(seed):
+    from graticule.plans.prune import _settle, _weakest_links
+
+    tree, steps = _random_tree(6, seed), []
+    live = {k for k, b in tree.items() if b.row.is_split}
+    while True:
+        for k in sorted(tree, key=lambda k: -k[1]):
+            _settle(tree, k)
+        live = {k for k in live if not any(tree.get((0, k[1] - u, k[2] >> u)).collapsed for u in range(k[1] + 1))}
+        if not live:
+            break
+        steps.append(min(((tree[k].leaf_errors - tree[k].errors) / (tree[k].leaves - 1), k[1], k[2]) for k in live))
+        tree[0, steps[-1][1], steps[-1][2]].collapsed = True
+    found = _weakest_links(_random_tree(6, seed))
+    assert [(r, *key[1:]) for key, _, _, r in found[1:]] == steps and len(steps) > 5
+
+
+def test_weakest_links_of_a_large_tree():
+    import time
+
+    from graticule.plans.prune import _weakest_links
+
+    tree = _random_tree(17, 3)
+    start = time.perf_counter()
+    steps = _weakest_links(tree)
+    splits = sum(b.row.is_split for b in tree.values())
+    assert splits > 20_000 and steps[-1][1] == 1 and time.perf_counter() - start < 30
+
+
+def test_trees_do_not_depend_on_partitioning(samples):
+    assert train_trees(samples.repartition(3), max_depth=6).nodes == train_trees(samples.repartition(11), max_depth=6).nodes
