@@ -36,7 +36,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -50,8 +49,8 @@ LONGEST = 5
 BEST = 2000
 # Text mined as one shard; its arrays take about thirty times as much.
 SHARD_BYTES = 1 << 20
-# Eight megabytes on the driver and in each Python worker.
-FILTER_BITS = 1 << 26
+# Four megabytes on the driver, and twice that in each Python worker.
+FILTER_BITS = 1 << 25
 RANK_SHARES = 128
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -141,10 +140,10 @@ def _part(data: np.ndarray, offs: np.ndarray, names: list[str]) -> tuple | None:
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of each key by first appearance, the distinct keys and where they first stand."""
-    number, distinct = pd.factorize(keys)
-    number = number.astype(np.int32)
+    found = pa.array(keys).dictionary_encode()
+    number = found.indices.to_numpy()
     most = np.maximum.accumulate(number) if len(number) else number
-    return number, distinct, np.flatnonzero(np.diff(most, prepend=-1))
+    return number, found.dictionary.to_numpy(), np.flatnonzero(np.diff(most, prepend=-1))
 
 
 def groups(start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,11 +276,10 @@ def frequent_phrases(
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("total")), "phrase-totals")
     found = [written(words.where(F.col("n") >= support), "phrase-frequent")]
     texts = texts.join(small_side(totals, totals.count()), "lang", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    allowed: list = [None]
     for low, high in [(2, 2), (3, longest)]:
         if low > longest:
             break
-        allowed.append(bit_table(hashes_of(found[-1]), filter_bits))
+        allowed = [*[None] * (low - 1), bit_table(hashes_of(found[-1]), filter_bits)]
         known = bit_table(_mined(texts, allowed, (low, high), support, shard_bytes), filter_bits)
         found.append(written(_counted(texts, allowed, (low, high), known, shard_bytes).where(F.col("n") >= support), "phrase-frequent"))
     out = found[0]
