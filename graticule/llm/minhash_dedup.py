@@ -18,10 +18,12 @@ retained values agree. Steps:
    full sets. So a large group costs one pair per member instead of all pairs.
    A list whose members are still in several components is open. For the members of open
    lists the same inverted lists are made of full sets, where the overlap needed is
-   certain and the rarest quarter of the values suffices. Pairs of different components
-   are filtered inside the join by bitmaps of the sets, whose differing bits never
-   outnumber differing members, and then verified on full sets. No link that could join
-   two components is left out.
+   certain and the rarest quarter of the values suffices. Open lists are dealt out in pairs
+   of blocks and compared inside tasks by bitmaps of the sets, whose differing bits never
+   outnumber differing members. A task first gives a forest of the likeliest pairs that
+   span its components, at most one a member, and these are verified on full sets; once few
+   of them are links, every pair that the bitmaps allow between the components left is
+   verified. No link that could join two components is left out.
 4. Components of the links.
 
 Rows: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable), ``kept``.
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graticule.llm import words as W
@@ -52,6 +54,8 @@ SKETCH = 64
 DEVIATIONS = 5.5
 BITMAP_BITS = 2048
 BITMAP_MEMBERS = 512
+BLOCK_MEMBERS = 512
+PAIRS_AT_ONCE = 1 << 16
 
 
 def _sets(width: int):
@@ -107,18 +111,108 @@ def _bitmap(values: np.ndarray, level: int) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
-def _alike(x: str, y: str, percent: int):
-    """Whether bitmaps allow the similarity.
+def _fixed(column: pa.Array) -> np.ndarray:
+    """128-bit keys as a numpy array."""
+    column = column.cast(pa.binary(16))
+    return np.frombuffer(column.buffers()[1], "S16")[column.offset : column.offset + len(column)]
+
+
+def _forest(parts_x: np.ndarray, parts_y: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Pairs, best first, that join two parts not joined by earlier ones."""
+    low, high = np.minimum(parts_x, parts_y)[order], np.maximum(parts_x, parts_y)[order]
+    _, first = np.unique(low * (int(high.max()) + 1) + high, return_index=True)
+    first.sort()
+    above: dict[int, int] = {}
+
+    def root(n: int) -> int:
+        while (up := above.get(n, n)) != n:
+            above[n] = n = above.get(up, up)
+        return n
+
+    taken = []
+    for at, x, y in zip(first.tolist(), low[first].tolist(), high[first].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            above[y] = x
+            taken.append(at)
+    return order[taken]
+
+
+def _compared(percent: int, forest: bool):
+    """Pairs of one list, or of two of its blocks, that lie in different components and may be similar.
 
     Similar sets differ in at most ``(1 - s) / (1 + s)`` of both sizes; for halved sets that
-    bound gets its deviations.
+    bound gets its deviations. Rows come in order of (value, i, j). ``forest`` gives only as
+    many of a batch's pairs as span what they connect, those with the most similar bitmaps first.
     """
-    level = lambda c: F.greatest(F.lit(0), F.ceil(F.log2(F.col(f"held{c}") / BITMAP_MEMBERS))).cast("int")
-    both = F.greatest(level(x), level(y))
-    bits = lambda c: F.when(level(c) == both, F.col(f"bits{c}")).otherwise(F.col(f"half{c}"))
-    differ = F.aggregate(F.zip_with(bits(x), bits(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    most = (F.col(f"held{x}") + F.col(f"held{y}")) * ((100 - percent) / (100 + percent)) / F.pow(F.lit(2.0), both)
-    return differ <= most + F.when(both > 0, F.sqrt(most) * DEVIATIONS + DEVIATIONS).otherwise(F.lit(1e-9))
+
+    def near(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of each pair, and the share of the allowed difference that its bitmaps show."""
+        parts = np.unique(_fixed(batch.column("component")), return_inverse=True)[1]
+        side, held, rest = (batch.column(c).to_numpy() for c in ("mine", "held", "rest"))
+        alone = np.asarray(batch.column("i")) == np.asarray(batch.column("j"))
+        level = np.maximum(0, np.ceil(np.log2(held / BITMAP_MEMBERS))).astype(np.int64)
+        maps = np.stack([
+            batch.column(c).flatten().to_numpy().reshape(len(held), -1).view(np.uint64) for c in ("bits", "half")
+        ])
+        partners = ends - np.arange(len(ends)) - 1
+        total = np.cumsum(partners)
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            some = partners[at:to]
+            x = np.repeat(np.arange(at, to), some)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some)
+            fits = (
+                (parts[y] != parts[x]) & (alone[x] | (side[y] != side[x]))
+                & (np.minimum(held[x], held[y]) * 100 >= np.maximum(held[x], held[y]) * percent)
+                & (np.minimum(rest[x], rest[y]) * (100 + percent) >= (held[x] + held[y]) * percent)
+            )
+            x, y = x[fits], y[fits]
+            both = np.maximum(level[x], level[y])
+            differ = np.bitwise_count(maps[both - level[x], x] ^ maps[both - level[y], y]).sum(1, dtype=np.int64)
+            most = (held[x] + held[y]) * ((100 - percent) / (100 + percent)) / 2.0**both
+            most += np.where(both > 0, np.sqrt(most) * DEVIATIONS + DEVIATIONS, 1e-9)
+            fits = differ <= most
+            yield x[fits], y[fits], (differ[fits] / most[fits]), parts
+            at = to
+
+    def found(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(ends):
+            return
+        pairs = list(near(batch, ends))
+        x, y, share = (np.concatenate([p[n] for p in pairs]) for n in range(3))
+        if not len(x):
+            return
+        parts = pairs[0][3]
+        if forest:
+            some = _forest(parts[x], parts[y], np.argsort(share, kind="stable"))
+            x, y = x[some], y[some]
+        keys, code = np.unique(_fixed(batch.column("key")), return_inverse=True)
+        low, high = np.minimum(code[x], code[y]), np.maximum(code[x], code[y])
+        pair = np.unique(low * len(keys) + high)
+        first = np.zeros(len(keys), np.int64)
+        first[code] = np.arange(len(code))
+        column = batch.column("key")
+        yield pa.RecordBatch.from_arrays(
+            [column.take(pa.array(first[pair // len(keys)])), column.take(pa.array(first[pair % len(keys)]))], names=["a", "b"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.concat_batches([*left, batch])
+            value, i, j = (both.column(c).to_numpy() for c in ("value", "i", "j"))
+            cuts = np.flatnonzero((value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            whole = int(cuts[-1]) if len(cuts) else 0
+            yield from found(both.slice(0, whole), np.repeat(cuts, np.diff(cuts, prepend=0)))
+            left = [both.slice(whole)]
+        for batch in left:
+            yield from found(batch, np.full(batch.num_rows, batch.num_rows))
+
+    return run
 
 
 def _full_sets(width: int):
@@ -195,6 +289,51 @@ def _rarest(posted: DataFrame) -> DataFrame:
     ).select(F.col("p.value").alias("value"), "key", "held", "need", (F.col("held") - F.col("alone") - F.col("i")).alias("rest"))
 
 
+def _joined_further(lists: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """``label(node, component)`` after all links inside ``lists`` that join two of its components.
+
+    Lists with several components are dealt out in pairs of blocks. Rounds that verify a forest of
+    likely pairs go on while a quarter of these are links; then all pairs that the bitmaps
+    allow between the components left are verified.
+    """
+    bitmaps = sets.select("key", "bits", "half")
+    forest = True
+    while True:
+        placed = lists.join(label.withColumnRenamed("node", "key"), "key")
+        heads = placed.groupBy("value").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")
+        ).where("c0 != c1").select("value", "blocks")
+        seen = Observation()
+        opened = written(placed.join(written(heads, "open-values"), "value").observe(seen, F.count("*").alias("n")), "open-lists")
+        if not seen.get["n"]:
+            return label
+        dealt = opened.withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        ).select(
+            "value", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "component", "held", "rest"
+        ).join(bitmaps, "key")
+        near = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(
+            _compared(percent, forest), "a binary, b binary"
+        )
+        near, of_near = written(near.distinct(), "near-pairs"), Observation()
+        links = written(_verified(near, sets, percent).observe(of_near, F.count("*").alias("n")), "block-links")
+        found, proposed = of_near.get["n"], near.count()
+        if found:
+            label = _merged(label, links)
+        if not forest or not proposed:
+            return label
+        forest = found * 4 >= proposed
+        lists = opened.select(lists.columns)
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links between nodes."""
+    of = label.withColumnRenamed("component", "c")
+    ends = links.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(written(ends.distinct(), "component-pairs")).toDF("c", "to")
+    return written(of.join(joined, "c", "left").select("node", F.coalesce("to", "c").alias("component")), "labels")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILARITY_PERCENT, k: int = SKETCH) -> DataFrame:
     """Component of every row (see the module's notes); also ``text_hash``, which tells rows of one id apart."""
     spark = docs.sparkSession
@@ -247,16 +386,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, percent: int = SIMILA
     sets = sets_of(asked.select("key"))
     size = F.size("members").cast("long")
     posted = sets.select("key", size.alias("held"), F.ceil(size * percent / 100).alias("need"), F.explode("members").alias("value"))
-    placed = written(_rarest(posted).join(asked, "key").join(sets.select("key", "bits", "half"), "key"), "full-lists")
-    x, y = (placed.select(*(F.col(c).alias(f"{c}_{side}") for c in placed.columns)) for side in "xy")
-    cross = x.join(
-        y,
-        (F.col("value_x") == F.col("value_y")) & (F.col("key_x") < F.col("key_y")) & (F.col("c_x") != F.col("c_y"))
-        & (F.least("held_x", "held_y") * 100 >= F.greatest("held_x", "held_y") * percent)
-        & (F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("held_x") + F.col("held_y")) * percent)
-        & _alike("_x", "_y", percent),
-    ).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
-    label = components(links.union(_verified(cross, sets, percent)))
+    label = written(label.union(asked).distinct().toDF("node", "component"), "labels")
+    label = _joined_further(written(_rarest(posted), "full-lists"), sets, label, percent)
 
     joined = classes.select("key", "least_id").join(label.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "least_id", F.coalesce("component", "key").alias("group")
