@@ -53,8 +53,9 @@ def _pieces(path: str, capacity: int):
         encoder, closing = WordEncoder(path), np.array([CLOSING_ID], "<u4").tobytes()
         for batch in W.chunks(batches):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode(batch.column("text").to_pylist())):
-                ids += closing
+            all_ids, bounds = encoder.columns(batch.column("text"))
+            for row, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                ids = all_ids[begin:end].tobytes() + closing
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     rows.append(row)

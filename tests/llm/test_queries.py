@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checking import compare, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graticule.llm import chat_format, oracles, queries, source_mixing, token_counts, url_filter
+from graticule.llm import chat_format, encoding, oracles, queries, source_mixing, token_counts, url_filter
+from graticule.llm import words as W
 from graticule.llm.encoding import WordEncoder, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -66,8 +68,23 @@ def test_packing(spark, con):
 def test_encoder_on_odd_texts():
     encoder = WordEncoder(tokenizer_path())
     odd = ["É l'été it's 'S <|endoftext|> a<|startoftext|>b ª º µm ÿ×÷ İstanbul ΑΣ. K ﬁ é ́x a.b, .,.! ", "\t a b c\x0bd\x1ce", "ÀÉÎõü.. ß! x²  3,5 --", "", " \n", None]
-    for text, ids in zip(odd, encoder.encode(odd)):
-        assert ids == np.array(encoder.encoder.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    wanted = [np.array(encoder.encoder.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes() for text in odd]
+    assert encoder.encode(odd) == wanted
+
+
+@pytest.mark.parametrize("known", [2, 10_000])
+@pytest.mark.parametrize("collide", [False, True])
+def test_ids_of_whole_columns(monkeypatch, known, collide):
+    """A full store, and words whose hashes are equal, change nothing."""
+    monkeypatch.setattr(encoding, "KNOWN", known)
+    if collide:
+        found = W.words_in
+        monkeypatch.setattr(W, "words_in", lambda data, offs: (lambda s, e, h, f: (s, e, h & np.uint64(1), f))(*found(data, offs)))
+    encoder = WordEncoder(tokenizer_path())
+    for texts in (["a b  c", None, "", "É l'été\tit's\x0bA.\r\nb, b,"], ["new words a", "x" * 70_000 + " x"], [], [None]):
+        ids, bounds = encoder.columns(pa.array(texts, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+        assert got == [encoder.encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_role_repair_is_cheapest_and_legal(spark, con, monkeypatch):
