@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from graticule.session import written
 
 STRETCH = 4096
+# Turns of one number and role are dealt out by so many characters of their texts, and ordered by whole texts.
+TIED = 256
 STATES = ("none", "system", "user", "assistant")
 PRICES = {"relabel": 2, "unknown": 1, "merge": 1, "insert": 3}
 _NEVER = 1 << 40
@@ -217,7 +219,7 @@ def repair(turns: DataFrame, prices: dict[str, int] | None = None) -> DataFrame:
         role.alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     keys = ["conv", "turn", "given", "text"]
-    ordered = ordered.repartitionByRange(n, "conv", "turn", "given", F.xxhash64("text")).sortWithinPartitions(*keys)
+    ordered = ordered.repartitionByRange(n, "conv", "turn", "given", F.substring("text", 1, TIED)).sortWithinPartitions(*keys)
     # Numbers rise with the order; they are fixed by being written, as is the cut into stretches.
     held = written(
         ordered.withColumn("uid", F.monotonically_increasing_id()).withColumn("stretch", F.expr(f"uid div {STRETCH}")), "chat-turns"

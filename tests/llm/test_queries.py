@@ -1,6 +1,8 @@
 """Registered queries against their SQL, or against brute force where SQL cannot express them."""
 
 import collections
+import functools
+import itertools
 import math
 import re
 import zlib
@@ -87,6 +89,67 @@ def test_ids_of_whole_columns(monkeypatch, known, collide):
         assert got == [encoder.encoder.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_short_conversations_against_all_repairs(spark):
+    """Every role sequence of up to four turns; repairs are enumerated without the operator's tables."""
+    roles = ("system", "user", "assistant", "tool")
+    given = [c for n in range(1, 5) for c in itertools.product(roles, repeat=n)]
+    legal = [s + "ua" * k for s in ("", "s") for k in range(1, 7)]
+
+    def holds(whole, part):
+        rest = iter(whole)
+        return all(x in rest for x in part)
+
+    @functools.cache
+    def missing(opened):
+        return min(len(x) - len(opened) for x in legal if holds(x, opened)) if any(holds(x, opened) for x in legal) else 1 << 30
+
+    price = chat_format.PRICES
+
+    def cheapest(turns):
+        best = 1 << 30
+        for new in itertools.product(roles[:3], repeat=len(turns)):
+            cost = sum(0 if a == b else price["unknown"] if a == "tool" else price["relabel"] for a, b in zip(turns, new))
+            for merged in itertools.product((False, True), repeat=len(turns)):
+                if any(m and (not i or new[i] != new[i - 1]) for i, m in enumerate(merged)):
+                    continue
+                opened = "".join(r[0] for r, m in zip(new, merged) if not m)
+                best = min(best, cost + price["merge"] * sum(merged) + price["insert"] * missing(opened))
+        return best
+
+    rows = [(i, k, role, "x") for i, turns in enumerate(given) for k, role in enumerate(turns)]
+    by = collections.defaultdict(list)
+    for r in chat_format.repair(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        by[r["conv_id"]].append(r)
+    for i, turns in enumerate(given):
+        found = sorted(by[i], key=lambda r: r["seq"])
+        rendered = "".join(x[0] for x in re.findall(r"<\|(\w+)\|>", "".join(r["rendered"] for r in found)) if x != "end")
+        assert rendered in legal
+        merges = sum("merge" in r["action"] for r in found)
+        relabels = sum(price["unknown"] if r["role"] == "tool" else price["relabel"] for r in found if "relabel" in r["action"])
+        total = relabels + price["merge"] * merges + price["insert"] * (len(rendered) - len(found) + merges)
+        assert total == cheapest(turns), turns
+
+
+def test_tied_turns_are_rendered_alike_however_dealt_out(spark):
+    rows = [(1, 5, "user", f"{'same beginning ' * 30 if k % 2 else ''}{k * 7919 % 400}") for k in range(400)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    old, texts = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            texts.append("".join(r["rendered"] for r in sorted(chat_format.repair(turns).collect(), key=lambda r: r["seq"])))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert texts[0] == texts[1]
+    assert [x.removesuffix("<|end|>") for x in texts[0].split("\n") if x[:1].isdigit() or x[:4] == "same"] == sorted(r[3] for r in rows)
+
+
+def test_very_many_phrases_in_one_text(spark):
+    text = "cc by " * 80_000 + "x All rights reserved"
+    found = queries.license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (found["n_words"], found["n_base"], found["first_word"], found["last_word"]) == (160_004, 80_001, 0, 160_001)
+
+
 def test_role_repair_is_cheapest_and_legal(spark, con, monkeypatch):
     monkeypatch.setattr(chat_format, "STRETCH", 16)
     rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
