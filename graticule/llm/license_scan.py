@@ -71,19 +71,20 @@ def lowered(text: Column) -> Column:
 
 
 def _phrase_places(padded: Column, phrase: str) -> Column:
-    """Word numbers at which ``phrase`` starts in a text whose words stand between single spaces."""
+    """Struct (n, first, last): where ``phrase`` starts in a text whose words stand between single spaces."""
     parts = F.split(padded, f"(?<= ){phrase}(?= )")
     step = len(phrase.split())
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("found"))
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("n"), none.alias("first"), none.alias("last"))
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) - 1
     walked = F.aggregate(
         F.slice(parts, F.lit(1), F.size(parts) - 1), start,
         lambda a, x: F.struct(
-            (a["at"] + words(x) + F.when(F.size(a["found"]) > 0, F.lit(step)).otherwise(0)).alias("at"),
-            F.concat(a["found"], F.array(a["at"] + words(x) + F.when(F.size(a["found"]) > 0, F.lit(step)).otherwise(0))).alias("found"),
-        ), lambda a: a["found"],
+            (a["n"] + 1).alias("n"), F.coalesce(a["first"], words(x).cast("long")).alias("first"),
+            F.coalesce(a["last"] + step + words(x), words(x).cast("long")).alias("last"),
+        ),
     )
-    return F.when(F.contains(padded, F.lit(f" {phrase} ")), walked).otherwise(F.array().cast("array<long>"))
+    return F.when(F.contains(padded, F.lit(f" {phrase} ")), walked).otherwise(start)
 
 
 def _literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -152,11 +153,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, contai
     best = matched.groupBy("uid").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
     names = list(PHRASES.values())
-    spots = F.concat(*[F.col(f"p{i}") for i in range(len(names))])
-    base = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+    spots = F.array(*[F.col(f"p{i}") for i in range(len(names))])
+    base = F.filter(F.array(*[F.when(F.col(f"p{i}.n") > 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
     out = held.drop("blocks").join(best, "uid", "left").select(
-        "doc_id", "n_words", F.size(spots).cast("long").alias("n_base"), F.array_min(spots).alias("first_word"),
-        F.array_max(spots).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"),
+        "doc_id", "n_words", F.aggregate(spots["n"], F.lit(0).cast("long"), lambda a, x: a + x).alias("n_base"),
+        F.array_min(spots["first"]).alias("first_word"), F.array_max(spots["last"]).alias("last_word"), F.array_sort(F.array_distinct(base)).alias("base"),
         F.coalesce("found", F.array().cast("array<string>")).alias("found"), F.coalesce("share", F.lit(0.0)).alias("share"),
     )
     return out.select(

@@ -68,6 +68,7 @@ def _quality() -> str:
 def _licences() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     sets = [(label, sorted(set(words.split()))) for label, words in TEMPLATES]
+    n = 2 * max(len(words.split()) for _, words in TEMPLATES)
     templates = ", ".join(f"('{label}', {words}, {-(-len(words) * int(100 * CONTAINMENT) // 100)})" for label, words in sets)
     return rf"""
     WITH w AS (SELECT doc_id, {_LOW} AS text, regexp_extract_all({_LOW}, '{_ALNUM}') AS ws FROM documents),
@@ -76,8 +77,10 @@ def _licences() -> str:
               FROM w, phrases WHERE len(ws) >= n),
     base AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word FROM spots GROUP BY doc_id),
     templates(label, words, need) AS (VALUES {templates}),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
-    sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_ALNUM}')) AS b FROM lines),
+    starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {n}, 1) + 1, {n})) AS i FROM w),
+    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '{_ALNUM}') AS ls FROM w),
+    sets AS (SELECT doc_id, list_distinct(list_slice(ws, i, i + {2 * n} - 1)) AS b FROM starts
+             UNION ALL SELECT doc_id, list_distinct(ls) FROM lines WHERE len(ls) <= {2 * n}),
     hits AS (SELECT doc_id, label, len(list_intersect(b, words)) / len(words) AS share FROM sets, templates WHERE len(list_intersect(b, words)) >= need),
     labels_ AS (SELECT DISTINCT doc_id, label, true AS base FROM spots UNION ALL SELECT DISTINCT doc_id, label, false FROM hits),
     named AS (SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
