@@ -26,15 +26,10 @@ def _components(links: str, nodes: str, node: str) -> str:
 
 
 def _quality() -> str:
-    rules, rows = list(CUTOFFS), []
-    for rule, cuts in CUTOFFS.items():
-        rows += [f"('{rule}', {g}, {cut})" for g, cut in enumerate(cuts)]
-    limit = FALSE_REJECTIONS / len(rules)
-    shares = {
-        "symbols": "n_symbols / nullif(word_chars, 0)", "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
-        "repeats": "n_repeat_words / nullif(n_words, 0)", "capitals": "n_capitals / nullif(word_chars, 0)",
-    }
-    melted = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, coalesce(CAST({s} AS DOUBLE), 0) AS x FROM m" for r, s in shares.items())
+    rules, n = list(CUTOFFS), max(map(len, CUTOFFS.values()))
+    steps = ", ".join(f"({g}, {', '.join(str(cuts[min(g, len(cuts) - 1)]) for cuts in CUTOFFS.values())})" for g in range(n))
+    limit = FALSE_REJECTIONS
+    over = " OR ".join(f"m.{r} > s.max_{r}" for r in rules)
     return rf"""
     WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
                       regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws,
@@ -47,18 +42,19 @@ def _quality() -> str:
                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) AS n_lines,
                   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
                   length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-    m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
-    x AS ({melted}),
-    cuts(rule, g, cut) AS (VALUES {", ".join(rows)}),
+    m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+                 coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbols, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_lines,
+                 coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeats, coalesce(n_capitals / nullif(word_chars, 0), 0) AS capitals FROM m0),
+    steps(g, {", ".join(f"max_{r}" for r in rules)}) AS (VALUES {steps}),
     good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-    k AS (SELECT stratum, x.rule, g, cut, count(*) AS n, count(*) FILTER (x > cut) AS k
-          FROM x JOIN cuts ON x.rule = cuts.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+    k AS (SELECT stratum, g, count(*) AS n, count(*) FILTER ({over}) AS k
+          FROM m, steps s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
     p AS (SELECT *, CASE WHEN k < n * {limit} THEN list_sum(list_transform(range(0, k + 1), lambda i:
               exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit})))) ELSE 1 END AS tail,
               (SELECT count(DISTINCT stratum) FROM k) AS strata FROM k),
-    ok AS (SELECT *, bool_and(tail <= {ERROR} / (strata * {len(rules)})) OVER (PARTITION BY stratum, rule ORDER BY g) AS passed FROM p),
-    best AS (SELECT stratum, rule, min(cut) AS cut FROM ok WHERE passed GROUP BY ALL),
-    bad AS (SELECT doc_id, bool_or(x > best.cut) AS rejected FROM x JOIN best ON x.stratum = best.stratum AND x.rule = best.rule GROUP BY doc_id)
+    ok AS (SELECT *, bool_and(tail <= {ERROR} / strata) OVER (PARTITION BY stratum ORDER BY g) AS passed FROM p),
+    best AS (SELECT stratum, max(g) AS g FROM ok WHERE passed GROUP BY ALL),
+    bad AS (SELECT doc_id, {over} AS rejected FROM m JOIN best ON m.stratum = best.stratum JOIN steps s ON best.g = s.g)
     SELECT m.doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce(rejected, false) AS kept
     FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id

@@ -3,7 +3,8 @@
 Each rule is a share measured on a text; a text is rejected above the rule's cut-off.
 Candidate cut-offs are fixed in advance, from lenient to strict, and not read off the
 labels. For each stratum (language) and rule the labelled good documents of that stratum
-are a holdout: with ``k`` of ``n`` of them above a cut-off, the cut-off is certified if
+that pass the base rule are a holdout, each counted once (with its largest shares, where
+rows repeat its id), so the limit covers what the method rejects beyond the base rule: with ``k`` of ``n`` of them above a cut-off, the cut-off is certified if
 ``P(Binomial(n, limit) <= k) <= level``, the exact test that the true false-rejection
 rate is below ``limit`` (the same as an exact upper confidence bound below it).
 
@@ -152,6 +153,8 @@ def cutoffs(
     """Certified cut-off of each stratum and rule, null where none is: ``stratum, <rule>...``."""
     judged = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     holdout = measured.where("not base_failed").join(judged.where("quality = 1"), "doc_id", "left_semi")
+    # One draw a label: rows that share an id are not independent.
+    holdout = holdout.groupBy("stratum", "doc_id").agg(*[F.max(rule).alias(rule) for rule in CUTOFFS])
     above = [
         F.sum((F.col(rule) > cut).cast("long")).alias(f"{rule}_{g}") for rule, cuts in CUTOFFS.items() for g, cut in enumerate(cuts)
     ]
