@@ -20,7 +20,7 @@ from graticule.plans import evaluate as E
 from graticule.plans import prune
 from graticule.plans import som_quality as Q
 from graticule.plans.forest import predict_forest, train_forest, votes_expression
-from graticule.plans.som import Codebook, assign, train_som, unit_sums, update_table
+from graticule.plans.som import Codebook, assign, train_som, train_soms, unit_sums, update_table
 from graticule.plans.tree import Node, TreeModel, predict, train_trees, tree_expression
 from graticule.session import scratch_path
 from graticule.sources import models as M
@@ -429,11 +429,12 @@ def som_by_fraction(spark, d):
     rows = P.standard_scale(read, LINE_COLUMNS).select(
         F.col("order").cast("bigint").alias("l_orderkey"), F.col("line").cast("bigint").alias("line"), P.vector(LINE_COLUMNS).alias("features")
     ).persist()
-    found = []
-    for i in range(1, 11):
-        drawn = S.sample_with_replacement(rows, LINE_KEY, i / 10, 7)
-        book = train_som(drawn, *GRID, 2, width=4, sigma_0=2.0, tau=2.0, seed=3)
-        found.append(Q.quality(drawn, book).withColumn("fraction", F.lit(i / 10)))
+    fractions, start = [i / 10 for i in range(1, 11)], Codebook.random(spark, *GRID, 4, seed=3)
+    copies = [S.poisson_copies(LINE_KEY, f, 7) for f in fractions]
+    books = train_soms(rows, [start] * len(fractions), 2, copies, sigma_0=2.0, tau=2.0)
+    found = [
+        Q.quality(S.sample_with_replacement(rows, LINE_KEY, f, 7), book).withColumn("fraction", F.lit(f)) for f, book in zip(fractions, books)
+    ]
     out = reduce(DataFrame.unionByName, found)
     return out.select("fraction", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("n", "fraction")])
 

@@ -155,6 +155,49 @@ def unit_sums(
     return _merge(merged, ["neuron"], width)
 
 
+def unit_sums_of_maps(
+    samples: DataFrame, books: Sequence[Codebook], copies: Sequence[Column] | None = None, features: str = "features",
+    merge_groups: int | None = None,
+) -> DataFrame:
+    """Rows (map, neuron, n, sums) of several maps, numbered from 0, from one reading of ``samples``.
+
+    ``copies[m]`` says how often map ``m`` draws a row (null: not at all); without it every map reads
+    every row once. Maps may differ in their grids, not in their width.
+    """
+    width = books[0].width
+    if any(b.width != width for b in books) or (copies is not None and len(copies) != len(books)):
+        raise ValueError("maps trained together need one width, and one column of copies each")
+    check_model_size(sum(b.weights.size for b in books), "codebooks")
+    weights, given = [b.weights for b in books], copies is not None
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(len(w), np.int64) for w in weights]
+        sums = [np.zeros_like(w) for w in weights]
+        for batch in batches:
+            x = matrix(batch.column(0), width)
+            for m, w in enumerate(weights):
+                times = batch.column(m + 1).to_numpy() if given else np.ones(len(x), np.int64)
+                drawn = np.flatnonzero(times > 0)
+                if len(drawn):
+                    again = times[drawn]
+                    ids, n, s = sums_by_group(np.repeat(x[drawn], again, axis=0), np.repeat(nearest(x[drawn], w)[:, 0], again))
+                    counts[m][ids] += n
+                    sums[m][ids] += s
+        for m, (n, s) in enumerate(zip(counts, sums)):
+            won = np.flatnonzero(n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(won) + 1, dtype=np.int32) * width), pa.array(s[won].ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(won), m), pa.int32()), pa.array(won, pa.int32()), pa.array(n[won]), lists], ["map", "neuron", "n", "sums"]
+            )
+
+    drawn = [F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(f"_copies{m}") for m, c in enumerate(copies or [])]
+    merged = samples.select(F.col(features), *drawn).mapInArrow(partials, "map int, neuron int, n bigint, sums array<double>")
+    if merge_groups:
+        step = merged.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(merge_groups)))
+        merged = _merge(step, ["map", "neuron", "_part"], width)
+    return _merge(merged, ["map", "neuron"], width)
+
+
 def _merge(partials: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     if width <= _WIDE:
         sums = ", ".join(f"sum(sums[{i}])" for i in range(width))
@@ -271,3 +314,29 @@ def train_som(
             drawn = sample_with_replacement(samples, key, subset_fraction, seed + t)
         codebook = updated(codebook, unit_sums(drawn, codebook, features, merge_groups).collect(), sigma, digits)
     return codebook
+
+
+def train_soms(
+    samples: DataFrame,
+    books: Sequence[Codebook],
+    iterations: int,
+    copies: Sequence[Column] | None = None,
+    smooth_iterations: int | None = None,
+    sigma_0: float = 10.0,
+    sigma_f: float = 0.1,
+    tau: float = 400.0,
+    features: str = "features",
+    merge_groups: int | None = None,
+    digits: int | None = 12,
+) -> list[Codebook]:
+    """Train several maps together; one Spark action and one reading of ``samples`` per iteration for all.
+
+    ``books`` are the initial maps (seeds, grids), ``copies`` how often each draws a row, such as
+    ``poisson_copies`` of several fractions. Each map is what ``train_som`` gives for its sample.
+    """
+    books = list(books)
+    for t in range(iterations if books else 0):
+        sigma = decayed(t, sigma_0, sigma_f, tau, smooth_iterations)
+        stats = unit_sums_of_maps(samples, books, copies, features, merge_groups).collect()
+        books = [updated(b, [r for r in stats if r["map"] == m], sigma, digits) for m, b in enumerate(books)]
+    return books

@@ -4,11 +4,13 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graticule.functions.schedules import decayed
+from graticule.operators.sampling import poisson_copies, sample_with_replacement
 from graticule.operators.scans import stable_partition
 from graticule.plans.forest import votes, votes_expression
-from graticule.plans.som import Codebook, train_som, unit_sums, update_table
+from graticule.plans.som import Codebook, train_som, train_soms, unit_sums, update_table
 from graticule.plans.som_quality import quality
 from graticule.plans.tree import Node, TreeModel, train_trees
 from graticule.sources.tables import from_rows
@@ -128,3 +130,27 @@ def test_text_features(spark):
     assert row[0]["capital_run_length_total"] == 7 and row[0]["capital_run_length_longest"] == 5
     assert row[0]["capital_run_length_average"] == 3.5
     assert set(row[1]["word_freqs"]) == {0.0} and row[1]["capital_run_length_longest"] == 0
+
+
+def test_maps_trained_together_are_those_trained_alone(spark):
+    rows = spark.range(500).selectExpr("id", "array(id % 7 / 7.0D, id % 11 / 11.0D) as features").persist()
+    books = [Codebook.random(spark, 2, 3, 2, seed=1), Codebook.random(spark, 4, 4, 2, seed=2), Codebook.random(spark, 2, 3, 2, seed=1)]
+    options = {"sigma_0": 2.0, "tau": 2.0}
+    copies = [poisson_copies(["id"], f, 7) for f in (0.3, 1.0, 2.5)]
+    together = train_soms(rows, books, 3, copies, **options)
+    for book, fraction, found in zip(books, (0.3, 1.0, 2.5), together):
+        drawn = sample_with_replacement(rows, ["id"], fraction, 7)
+        alone = train_som(drawn, book.rows, book.cols, 3, init=book, **options)
+        assert np.allclose(alone.weights, found.weights, rtol=0, atol=1e-9)
+    every = train_soms(rows, books[:1], 3, merge_groups=2, **options)[0]
+    assert np.allclose(every.weights, train_som(rows, 2, 3, 3, init=books[0], **options).weights, rtol=0, atol=1e-9)
+
+
+def test_maps_without_drawn_rows_stay_as_they_are(spark):
+    rows = from_rows(spark, [[0.5, 0.5]])
+    book = Codebook.random(spark, 1, 2, 2)
+    none, some = train_soms(rows, [book, book], 1, [F.lit(None), F.lit(2)])
+    assert np.allclose(none.weights, book.weights, rtol=0, atol=1e-9) and not np.allclose(some.weights, book.weights)
+    assert train_soms(rows, [], 1) == []
+    with pytest.raises(ValueError):
+        train_soms(rows, [book, Codebook.random(spark, 1, 2, 3)], 1)
