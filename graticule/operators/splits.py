@@ -33,6 +33,7 @@ from graticule.functions.impurity import criterion
 from graticule.session import check_model_size, small_side
 
 RANGE = ["slot", "feature", "range"]
+LINE = ["line", "feature", "range"]
 
 # The lower bound may exceed the true value by rounding; widen it by this much.
 _SLACK = 1e-9
@@ -43,6 +44,12 @@ _DENSE_CELLS = 500_000
 # Rows times trees that a task works on at once: arrays of a feature take about a hundred bytes each.
 _BLOCK = 200_000
 
+# Entries whose cuts a task judges together before it looks at each.
+_CUT_BLOCK = 64
+
+# Trees whose nodes share entries; a range's entries of so many nodes meet in one task.
+WIDEST_LINE = 16
+
 
 @dataclass(frozen=True)
 class Level:
@@ -59,6 +66,11 @@ class Level:
     width: int
     bits: int
     placed: bool = False
+    # Slots that share entries, a line each: at most one of a tree, all of one shift, -1 for none. Without it every slot has a line.
+    together: np.ndarray | None = None
+
+    def lines(self) -> np.ndarray:
+        return np.arange(len(self.shift))[:, None] if self.together is None else self.together
 
     def bins(self) -> np.ndarray:
         return np.left_shift(1, np.maximum(self.bits - self.shift, 0))
@@ -113,22 +125,84 @@ class Level:
                     cell = self.cell_of(s, f, number[c] >> self.shift[s])
                     keep = (open_cells[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                     s, c, yy = s[keep], c[keep], yy[keep]
-                key = s * len(values) + c
-                cells = len(self.shift) * len(values)
-                if cells <= 4 * len(key):
-                    m = np.bincount(key, minlength=cells)
-                    seen = np.flatnonzero(m)
-                    m, q = m[seen], np.bincount(key, weights=yy, minlength=cells)[seen]
-                else:
-                    order = np.argsort(key)
-                    key, yy = key[order], yy[order]
-                    at = np.flatnonzero(np.diff(key, prepend=-1))
-                    seen, m = key[at], np.diff(np.append(at, len(key)))
-                    q = np.add.reduceat(yy, at) if len(at) else yy[:0]
+                seen, m, q = _added(s * len(values) + c, yy, len(self.shift) * len(values))
                 if len(seen):
                     s, c = np.divmod(seen, len(values))
                     yield s, f, number[c] >> self.shift[s], values[c], m, q
 
+    def shared_entries(self, batches: Iterator[pa.RecordBatch], open_cells: np.ndarray | None = None):
+        """``(line, mask, feature, range, value, rows, target sum)``: ``entries`` with one for all slots of a line where its rows stand.
+
+        Bit ``b`` of ``mask`` says that the entry counts for the slot at place ``b`` of its line. In order of line, mask and value.
+        """
+        lines = self.lines()
+        line_of, place_of = np.zeros(len(self.shift), np.int64), np.zeros(len(self.shift), np.int64)
+        at_line, at_place = np.nonzero(lines >= 0)
+        line_of[lines[at_line, at_place]], place_of[lines[at_line, at_place]] = at_line, at_place
+        shift = self.shift[lines.max(axis=1)]
+        alone = len(self.shift) == len(lines)
+        for x, y, row, slot in self.blocks(batches):
+            if alone:
+                kinds, kind = np.arange(len(lines)) << WIDEST_LINE | np.int64(1) << place_of[np.argsort(line_of)], line_of[slot]
+            else:
+                row, kinds, kind = _kinds(row, line_of[slot], np.int64(1) << place_of[slot], len(lines))
+            yy = y[row]
+            for f in range(self.width):
+                values, code = np.unique(x[:, f], return_inverse=True)
+                number = np.searchsorted(self.edges[f], values, side="right") if self.bits else np.zeros(len(values), np.int64)
+                seen, m, q = _added(kind * len(values) + code[row], yy, len(kinds) * len(values))
+                k, c = np.divmod(seen, len(values))
+                line, some = kinds[k] >> WIDEST_LINE, kinds[k] & (1 << WIDEST_LINE) - 1
+                ranges, v = number[c] >> shift[line], values[c]
+                if open_cells is not None:
+                    still = np.zeros_like(some)
+                    for b in range(lines.shape[1]):
+                        on = np.flatnonzero(some >> b & 1)
+                        cell = self.cell_of(lines[line[on], b], f, ranges[on])
+                        still[on] |= (open_cells[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(np.int64) << b
+                    keep = still > 0
+                    line, some, ranges, v, m, q = line[keep], still[keep], ranges[keep], v[keep], m[keep], q[keep]
+                if len(line):
+                    yield line, some, f, ranges, v, m, q
+
+
+def _kinds(row: np.ndarray, line: np.ndarray, bit: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and kind of each line where a row stands; a kind is a line and the mask of its slots."""
+    key = row * lines + line
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        key, row, line, bit = key[order], row[order], line[order], bit[order]
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    mask, size = np.add.reduceat(bit, start), np.diff(np.append(start, len(key)))
+    if (np.bitwise_count(mask) != size).any():  # a row that trains one tree twice counts twice
+        start, mask = np.arange(len(key)), bit
+    return row[start], *np.unique(line[start] << WIDEST_LINE | mask, return_inverse=True)
+
+
+def _added(key: np.ndarray, y: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys below ``cells`` in order, with the rows and the target sum of each."""
+    if cells <= 4 * len(key):
+        m = np.bincount(key, minlength=cells)
+        seen = np.flatnonzero(m)
+        return seen, m[seen], np.bincount(key, weights=y, minlength=cells)[seen]
+    order = np.argsort(key)
+    key, y = key[order], y[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.diff(np.append(at, len(key))), np.add.reduceat(y, at) if len(at) else y[:0]
+
+
+def lines_together(tree_ids: np.ndarray, places: np.ndarray, shift: np.ndarray, bits: int) -> np.ndarray:
+    """Lines of slots for ``Level.together``: nodes at one place of up to ``WIDEST_LINE`` trees, searched by ranges of one width.
+
+    Nodes searched outright keep a line each, as all entries of a line and range meet in one task.
+    """
+    alone = np.where(shift >= bits, 1 + np.arange(len(shift)), 0)
+    keys = np.stack([alone, tree_ids // WIDEST_LINE, places, shift], axis=1)
+    line = np.unique(keys, axis=0, return_inverse=True)[1].ravel()
+    lines = np.full((int(line.max()) + 1, WIDEST_LINE), -1, np.int64)
+    lines[line, tree_ids % WIDEST_LINE] = np.arange(len(shift))
+    return lines
+
 
 def _joined(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if len(held) == 1:
@@ -151,11 +225,22 @@ def range_counts(rows: DataFrame, level: Level) -> DataFrame:
         return pa.RecordBatch.from_arrays([*keys, pa.array(m, pa.int64()), pa.array(q), pa.array(lo), pa.array(hi)], names)
 
     def summed(batches: Iterator[pa.RecordBatch]):
-        for slot, f, number, value, m, q in level.entries(batches):
-            cell = level.cell_of(slot, f, number)  # rises, as slots and values do
-            at = np.flatnonzero(np.diff(cell, prepend=-1))
-            last = np.append(at[1:], len(cell)) - 1
-            yield cell[at], np.add.reduceat(m, at), np.add.reduceat(q, at), value[at], value[last]
+        lines = level.lines()
+        for line, mask, f, number, value, m, q in level.shared_entries(batches):
+            first = np.ones(len(line), bool)
+            first[1:] = (line[1:] != line[:-1]) | (mask[1:] != mask[:-1]) | (number[1:] != number[:-1])
+            at = np.flatnonzero(first)
+            last = np.append(at[1:], len(line)) - 1
+            line, mask, number, lo, hi = line[at], mask[at], number[at], value[at], value[last]
+            m, q = np.add.reduceat(m, at), np.add.reduceat(q, at)
+            for b in range(lines.shape[1]):
+                on = np.flatnonzero(mask >> b & 1)
+                if not len(on):
+                    continue
+                cell = level.cell_of(lines[line[on], b], f, number[on])
+                on, cell = on[order := np.argsort(cell, kind="stable")], cell[order]
+                at = np.flatnonzero(np.diff(cell, prepend=-1))
+                yield cell[at], np.add.reduceat(m[on], at), np.add.reduceat(q[on], at), np.minimum.reduceat(lo[on], at), np.maximum.reduceat(hi[on], at)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, q = np.zeros(cells, np.int64), np.zeros(cells)
@@ -320,6 +405,11 @@ def criterion_of(kind: str, n_left: np.ndarray, s_left: np.ndarray, n: np.ndarra
     return side_of(kind, n_left, s_left) + side_of(kind, n - n_left, s - s_left)
 
 
+def _reached(best: dict[int, tuple], slots: int) -> np.ndarray:
+    """Criterion of each slot's best cut so far."""
+    return np.array([best[i][0] if i in best else np.inf for i in range(slots)])
+
+
 def _first_least(slot: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Of rows in order of slot, feature and value: the first of the least score of each slot."""
     starts = np.flatnonzero(np.diff(slot, prepend=-1))
@@ -328,39 +418,83 @@ def _first_least(slot: np.ndarray, score: np.ndarray) -> np.ndarray:
     return at[np.flatnonzero(np.diff(slot[at], prepend=-1))]
 
 
+def lower_bound(kind: str, n0, s0, n1, s1, n: np.ndarray, s: np.ndarray, y_min: float, y_max: float) -> np.ndarray:
+    """Least criterion that any cut between two known ones, of ``n0`` and ``n1`` rows to the left, can have."""
+    m, q, span = n1 - n0, s1 - s0, y_max - y_min
+    high = (q - m * y_min) / span if span > 0 else np.zeros(len(m))
+    low = m - high if span > 0 else np.zeros(len(m))
+    corners = [(n0, s0), (n1, s1), (n0 + high, s0 + high * y_max), (n0 + low, s0 + low * y_min)]
+    return np.min([criterion_of(kind, a, b, n, s) for a, b in corners], axis=0)
+
+
 _CUTS_DDL = "slot int, criterion double, feature int, value double, next_value double, n_left bigint, s_left double"
 
 
-def best_values(entries: DataFrame, n: np.ndarray, s: np.ndarray, kind: str, before: tuple[np.ndarray, np.ndarray, Level] | None = None) -> dict[int, tuple]:
-    """Best cut of each slot between values of one range, from (slot, feature, range, value, m, q) with values repeated.
+def best_values(
+    rows: DataFrame, level: Level, n: np.ndarray, s: np.ndarray, kind: str,
+    open_cells: np.ndarray | None = None, before: tuple[np.ndarray, np.ndarray] | None = None,
+    limit: np.ndarray | None = None, y_range: tuple[float, float] = (0.0, 1.0),
+) -> dict[int, tuple]:
+    """Best cut of each slot between values of one range, of the open cells (all when None).
 
-    ``n`` and ``s`` are the slots' rows and target sums, ``before`` what lies left of each cell.
-    A range's entries come to one task, sorted; a task holds one range at a time at most.
+    ``n`` and ``s`` are the slots' rows and target sums, ``before`` what lies left of each cell, ``limit`` a criterion
+    that each slot is known to reach (with the range of targets): what cannot be as good need not be found.
+    An entry of several slots is shuffled once for all of them. The entries of a line's range come to one
+    task, sorted; a task holds one range at a time at most.
     """
-    parts = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lines = level.lines()
 
-    def cuts(table: pa.Table) -> pa.RecordBatch | None:
-        slot, feature, number = (table.column(c).to_numpy().astype(np.int64) for c in RANGE)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line, mask, f, number, value, m, q in level.shared_entries(batches, open_cells):
+            keys = [pa.array(line, pa.int32()), pa.array(np.full(len(line), f), pa.int32()), pa.array(number, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(value), pa.array(mask, pa.int32()), pa.array(m, pa.int64()), pa.array(q)], [*LINE, "value", "mask", "m", "q"])
+
+    def of_slots(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        line, feature, number, mask = (table.column(c).to_numpy().astype(np.int64) for c in (*LINE, "mask"))
         value, m, q = (table.column(c).to_numpy() for c in ("value", "m", "q"))
-        group = np.ones(len(slot), bool)
-        group[1:] = (slot[1:] != slot[:-1]) | (feature[1:] != feature[:-1]) | (number[1:] != number[:-1])
-        at = np.flatnonzero(group | np.append(True, value[1:] != value[:-1]))
-        m, q = np.cumsum(np.add.reduceat(m, at)), np.cumsum(np.add.reduceat(q, at))
-        slot, feature, number, value, group = slot[at], feature[at], number[at], value[at], group[at]
-        start = np.flatnonzero(group)
-        sizes = np.diff(np.append(start, len(slot)))
-        m = m - np.repeat(np.append(0, m[start[1:] - 1]), sizes)
-        q = q - np.repeat(np.append(0.0, q[start[1:] - 1]), sizes)
-        keep = np.flatnonzero(~np.append(group[1:], True))
-        if not len(keep):
-            return None
-        slot, feature, number, low, high, m, q = slot[keep], feature[keep], number[keep], value[keep], value[keep + 1], m[keep], q[keep]
+        group = np.cumsum((np.diff(line, prepend=-1) != 0) | (np.diff(feature, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+        for b in range(lines.shape[1]):
+            on = np.flatnonzero(mask >> b & 1)
+            if not len(on):
+                continue
+            start = np.flatnonzero(np.diff(group[on], prepend=-1))
+            of = on[start]
+            found = cuts(start, lines[line[of], b], feature[of], number[of], value[on], m[on], q[on])
+            if found:
+                yield found
+
+    def cuts(start, slot, feature, number, value, m, q) -> pa.RecordBatch | None:
+        """Best cuts of slots from entries in ranges that begin at ``start``; blocks of entries that cannot hold one are passed over."""
+        n_left, s_left = np.cumsum(m), np.cumsum(q)
+        n_before, s_before = n_left[start] - m[start], np.append(0.0, s_left[start[1:] - 1])
         if before is not None:
-            cell = before[2].cell_of(slot, feature, number)
-            m, q = m + before[0][cell], q + before[1][cell]
-        score = criterion_of(kind, m, q, n[slot], s[slot])
-        best = _first_least(slot, score)
-        columns = [pa.array(slot[best], pa.int32()), pa.array(score[best]), pa.array(feature[best], pa.int32()), pa.array(low[best]), pa.array(high[best])]
+            cell = level.cell_of(slot, feature, number)
+            n_before, s_before = n_before - before[0][cell], s_before - before[1][cell]
+        first = np.union1d(np.arange(0, len(m), _CUT_BLOCK), start)
+        last = np.append(first[1:], len(m)) - 1
+        at = np.searchsorted(start, first, side="right") - 1
+        if limit is not None:
+            n0, s0 = n_left[first] - m[first] - n_before[at], np.append(0.0, s_left[first[1:] - 1]) - s_before[at]
+            bound = lower_bound(kind, n0, s0, n_left[last] - n_before[at], s_left[last] - s_before[at], n[slot[at]], s[slot[at]], *y_range)
+            most = limit[slot[at]]
+            keep = bound <= most + np.abs(most) * _SLACK + _SLACK
+            first, last, at = first[keep], last[keep], at[keep]
+        size = last - first + 1
+        i = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(at, size)
+        ends = np.append(start[1:], len(m)) - 1
+        cut = i != ends[at]
+        i, at = i[cut], at[cut]
+        cut = value[i] != value[i + 1]
+        i, at = i[cut], at[cut]
+        if not len(i):
+            return None
+        m, q, of = n_left[i] - n_before[at], s_left[i] - s_before[at], slot[at]
+        score = criterion_of(kind, m, q, n[of], s[of])
+        best = _first_least(of, score)
+        low = i[best]
+        columns = [pa.array(of[best], pa.int32()), pa.array(score[best]), pa.array(feature[at[best]], pa.int32()), pa.array(value[low]), pa.array(value[low + 1])]
         return pa.RecordBatch.from_arrays([*columns, pa.array(m[best], pa.int64()), pa.array(q[best])], ["slot", *_CUT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,30 +504,27 @@ def best_values(entries: DataFrame, n: np.ndarray, s: np.ndarray, kind: str, bef
             if not batch.num_rows:
                 continue
             # Ranges end where the keys change; the last one of a batch may go on.
-            keys = [batch.column(c).to_numpy() for c in RANGE]
+            keys = [batch.column(c).to_numpy() for c in LINE]
             changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            other = bool(held) and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in RANGE)
+            other = bool(held) and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in LINE)
             end = int(changes[-1]) if len(changes) else 0
             if (end or other) and rows + end >= 50_000:
-                found = cuts(pa.Table.from_batches([*held, batch.slice(0, end)]))
-                if found:
-                    yield found
+                yield from of_slots(pa.Table.from_batches([*held, batch.slice(0, end)]))
                 held, rows = [], 0
                 batch = batch.slice(end)
             held.append(batch)
             rows += batch.num_rows
         if held:
-            found = cuts(pa.Table.from_batches(held))
-            if found:
-                yield found
+            yield from of_slots(pa.Table.from_batches(held))
 
-    dealt = entries.repartition(parts, *RANGE).sortWithinPartitions(*RANGE, "value").mapInArrow(run, _CUTS_DDL)
+    found = rows.mapInArrow(entries, "line int, feature int, range int, value double, mask int, m bigint, q double")
+    dealt = found.repartition(parts, *LINE).sortWithinPartitions(*LINE, "value").mapInArrow(run, _CUTS_DDL)
     per_slot = dealt.groupBy("slot").agg(F.min(F.struct(*_CUT)).alias("b")).select("slot", "b.*")
     return _cuts_of(per_slot.toArrow())
 
 
 def outright_splits(rows: DataFrame, level: Level, n: np.ndarray, s: np.ndarray, kind: str) -> dict[int, tuple]:
-    return best_values(value_entries(rows, level), n, s, kind)
+    return best_values(rows, level, n, s, kind)
 
 
 def boundary_splits(rows: DataFrame, level: Level, totals: DataFrame, kind: str, y_min: float, y_max: float) -> dict[int, tuple]:
@@ -421,12 +552,8 @@ def _driver_ranges(counts: pa.Table, level: Level, n: np.ndarray, s: np.ndarray,
         score = criterion_of(kind, n_left[cut], s_left[cut], n[slot[cut]], s[slot[cut]])
         for i, j in zip(_first_least(slot[cut], score), cut[_first_least(slot[cut], score)]):
             best[int(slot[j])] = (float(score[i]), int(feature[j]), float(hi[j]), float(lo[j + 1]), int(n_left[j]), float(s_left[j]))
-    span = y_max - y_min
-    high = (q - m * y_min) / span if span > 0 else np.zeros(len(m))
-    low = m - high if span > 0 else np.zeros(len(m))
-    corners = [(before_n, before_s), (n_left, s_left), (before_n + high, before_s + high * y_max), (before_n + low, before_s + low * y_min)]
-    bound = np.min([criterion_of(kind, a, b, n[slot], s[slot]) for a, b in corners], axis=0)
-    limit = np.array([best[i][0] if i in best else np.inf for i in range(len(n))])[slot]
+    bound = lower_bound(kind, before_n, before_s, n_left, s_left, n[slot], s[slot], y_min, y_max)
+    limit = _reached(best, len(n))[slot]
     inside = (lo < hi) & (bound <= limit + np.abs(limit) * _SLACK + _SLACK)
     cells = int(level.base()[-1])
     cell = level.cell_of(slot, feature, number)
@@ -447,7 +574,7 @@ def bounded_splits(
     """
     if int(level.base()[-1]) <= limit:
         best, open_cells, before, open_ = _driver_ranges(range_counts(rows, level).toArrow(), level, n, s, kind, y_min, y_max)
-        found = best_values(value_entries(rows, level, open_cells), n, s, kind, (*before, level)) if open_ else {}
+        found = best_values(rows, level, n, s, kind, open_cells, before, _reached(best, len(n)), (y_min, y_max)) if open_ else {}
         for slot, cut in found.items():
             best[slot] = min(cut, best.get(slot, cut))
         return best

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graticule.functions.dense import FlatTrees, matrix, members
 from graticule.functions.impurity import gain
 from graticule.operators.scans import range_edges, running_sums
-from graticule.operators.splits import Level, boundary_splits, bounded_splits, outright_splits
+from graticule.operators.splits import Level, boundary_splits, bounded_splits, lines_together, outright_splits
 from graticule.session import BROADCAST_ROWS, check_model_size, small_side, written
 
 # Nodes up to this many rows are searched outright.
@@ -137,14 +137,17 @@ def _grow(
     edges: Sequence[Sequence[float]] | None, outright_rows: int,
 ) -> TreeModel:
     spark = rows.sparkSession
-    light = rows.select(F.explode("at").alias("tree_id"), "y", F.size("features").alias("width"))
-    totals = light.groupBy("tree_id").agg(
+    # Rows of the same trees are added up first, then once for each of them.
+    light = rows.groupBy("at").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("y").alias("labelled"),
         F.sum("y").alias("s"),
-        F.max("width").alias("width"),
+        F.max(F.size("features")).alias("width"),
         F.min("y").alias("y_min"),
         F.max("y").alias("y_max"),
+    )
+    totals = light.withColumn("tree_id", F.explode("at")).groupBy("tree_id").agg(
+        *[F.sum(c).alias(c) for c in ("n", "labelled", "s")], F.max("width").alias("width"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max")
     ).collect()
     if not totals:
         return TreeModel()
@@ -201,7 +204,8 @@ def _grow(
         slot = np.full(len(nodes), -1, np.int64)
         slot[is_open] = np.arange(len(is_open))
         shift = np.array([shift_of(nodes[j].n) for j in is_open], np.int64)
-        here = Level(FlatTrees(nodes), slot, shift, cuts, width, bits, placed)
+        trees, places = (np.array([nodes[j][c] for j in is_open], np.int64) for c in (0, 2))
+        here = Level(FlatTrees(nodes), slot, shift, cuts, width, bits, placed, lines_together(trees, places, shift, bits))
         going = sum(nodes[j].n for j in is_open)
         if level and 2 * going <= held:
             rows, held, placed = written(_placed(rows, here), "tree-rows"), going, True
