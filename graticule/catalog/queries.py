@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -430,13 +428,11 @@ def som_by_fraction(spark, d):
         F.col("order").cast("bigint").alias("l_orderkey"), F.col("line").cast("bigint").alias("line"), P.vector(LINE_COLUMNS).alias("features")
     ).persist()
     fractions, start = [i / 10 for i in range(1, 11)], Codebook.random(spark, *GRID, 4, seed=3)
-    copies = [S.poisson_copies(LINE_KEY, f, 7) for f in fractions]
+    copies = [S.PoissonDraw(tuple(LINE_KEY), f, 7) for f in fractions]
     books = train_soms(rows, [start] * len(fractions), 2, copies, sigma_0=2.0, tau=2.0)
-    found = [
-        Q.quality(S.sample_with_replacement(rows, LINE_KEY, f, 7), book).withColumn("fraction", F.lit(f)) for f, book in zip(fractions, books)
-    ]
-    out = reduce(DataFrame.unionByName, found)
-    return out.select("fraction", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("n", "fraction")])
+    found = Q.qualities(rows, books, copies)
+    fraction = F.element_at(F.array(*map(F.lit, fractions)), F.col("map") + 1).alias("fraction")
+    return found.select(fraction, "n", *[F.round(c, 6).alias(c) for c in found.columns if c not in ("map", "n")])
 
 
 def forest_large_nodes(spark, d):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,32 @@ def _poisson_cuts(fraction: float) -> list[float]:
     return cuts
 
 
+@dataclass(frozen=True)
+class PoissonDraw:
+    """``poisson_copies`` counted inside a task: Spark hands over the uniform draws, samples of one key and seed share them."""
+
+    key: tuple
+    fraction: float
+    seed: int = 7
+
+    def __post_init__(self) -> None:
+        if not 0 < self.fraction < math.inf:
+            raise ValueError("fraction must be positive")
+
+    @property
+    def parts(self) -> int:
+        return math.ceil(self.fraction / POISSON_PART)
+
+    def draws(self) -> dict[tuple, Column]:
+        """The uniform draws, by what tells them apart."""
+        seeds = [self.seed + 3_000_017 * i for i in range(self.parts)]
+        return {(self.key, s): unit_interval(*self.key, seed=s) for s in seeds}
+
+    def copies(self, drawn: Sequence[np.ndarray]) -> np.ndarray:
+        cuts = np.array(_poisson_cuts(self.fraction / self.parts))
+        return np.sum([np.searchsorted(cuts, u, side="right") for u in drawn], axis=0)
+
+
 def sample_with_replacement(df: DataFrame, key: Sequence, fraction: float, seed: int = 7) -> DataFrame:
     """Poisson sample: each row appears ``poisson_copies`` times."""
     copied = df.withColumn("_copies", poisson_copies(key, fraction, seed)).where("_copies > 0")

@@ -11,7 +11,7 @@ applied afterwards to the per-neuron sums, which is the same sum reordered:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graticule.functions.dense import matrix, nearest, squared_distance, sums_by_group
 from graticule.functions.hashing import unit_interval
 from graticule.functions.schedules import decayed
-from graticule.operators.sampling import sample_with_replacement
+from graticule.operators.sampling import PoissonDraw, sample_with_replacement
 from graticule.session import check_model_size
 
 # Wider vectors are merged element-wise as rows instead of as columns.
@@ -155,8 +155,38 @@ def unit_sums(
     return _merge(merged, ["neuron"], width)
 
 
+def samples_of_maps(
+    samples: DataFrame, books: Sequence[Codebook], copies: Sequence[Column | PoissonDraw] | None, features: str
+) -> tuple[DataFrame, Callable]:
+    """Rows for a pass over the samples of several maps, and what makes ``(x, [(rows drawn, copies) of each map])`` of a batch of them.
+
+    Draws of one key and seed cross to Python once.
+    """
+    width = books[0].width
+    if any(b.width != width for b in books) or (copies is not None and len(copies) != len(books)):
+        raise ValueError("maps trained together need one width, and one column of copies each")
+    check_model_size(sum(b.weights.size for b in books), "codebooks")
+    columns: dict = {}
+    for m, c in enumerate(copies or []):
+        columns |= c.draws() if isinstance(c, PoissonDraw) else {m: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))}
+    place = {name: i + 1 for i, name in enumerate(columns)}
+    counted = [
+        (c.copies if isinstance(c, PoissonDraw) else lambda drawn: drawn[0], [place[n] for n in (c.draws() if isinstance(c, PoissonDraw) else [m])])
+        for m, c in enumerate(copies or [])
+    ]
+
+    def drawn(batch: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        x = matrix(batch.column(0), width)
+        if not counted:
+            return x, [(np.arange(len(x)), np.ones(len(x), np.int64))] * len(books)
+        times = [count([batch.column(i).to_numpy() for i in at]) for count, at in counted]
+        return x, [(rows := np.flatnonzero(t > 0), t[rows]) for t in times]
+
+    return samples.select(F.col(features), *[c.alias(f"_draw{i}") for i, c in enumerate(columns.values())]), drawn
+
+
 def unit_sums_of_maps(
-    samples: DataFrame, books: Sequence[Codebook], copies: Sequence[Column] | None = None, features: str = "features",
+    samples: DataFrame, books: Sequence[Codebook], copies: Sequence[Column | PoissonDraw] | None = None, features: str = "features",
     merge_groups: int | None = None,
 ) -> DataFrame:
     """Rows (map, neuron, n, sums) of several maps, numbered from 0, from one reading of ``samples``.
@@ -164,23 +194,18 @@ def unit_sums_of_maps(
     ``copies[m]`` says how often map ``m`` draws a row (null: not at all); without it every map reads
     every row once. Maps may differ in their grids, not in their width.
     """
-    width = books[0].width
-    if any(b.width != width for b in books) or (copies is not None and len(copies) != len(books)):
-        raise ValueError("maps trained together need one width, and one column of copies each")
-    check_model_size(sum(b.weights.size for b in books), "codebooks")
-    weights, given = [b.weights for b in books], copies is not None
+    rows, drawn_of = samples_of_maps(samples, books, copies, features)
+    weights, width = [b.weights for b in books], books[0].width
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(len(w), np.int64) for w in weights]
         sums = [np.zeros_like(w) for w in weights]
         for batch in batches:
-            x = matrix(batch.column(0), width)
-            for m, w in enumerate(weights):
-                times = batch.column(m + 1).to_numpy() if given else np.ones(len(x), np.int64)
-                drawn = np.flatnonzero(times > 0)
+            x, samples = drawn_of(batch)
+            for m, (w, (drawn, again)) in enumerate(zip(weights, samples)):
                 if len(drawn):
-                    again = times[drawn]
-                    ids, n, s = sums_by_group(np.repeat(x[drawn], again, axis=0), np.repeat(nearest(x[drawn], w)[:, 0], again))
+                    own = x[drawn]
+                    ids, n, s = sums_by_group(np.repeat(own, again, axis=0), np.repeat(nearest(own, w)[:, 0], again))
                     counts[m][ids] += n
                     sums[m][ids] += s
         for m, (n, s) in enumerate(zip(counts, sums)):
@@ -190,8 +215,7 @@ def unit_sums_of_maps(
                 [pa.array(np.full(len(won), m), pa.int32()), pa.array(won, pa.int32()), pa.array(n[won]), lists], ["map", "neuron", "n", "sums"]
             )
 
-    drawn = [F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint")).alias(f"_copies{m}") for m, c in enumerate(copies or [])]
-    merged = samples.select(F.col(features), *drawn).mapInArrow(partials, "map int, neuron int, n bigint, sums array<double>")
+    merged = rows.mapInArrow(partials, "map int, neuron int, n bigint, sums array<double>")
     if merge_groups:
         step = merged.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(merge_groups)))
         merged = _merge(step, ["map", "neuron", "_part"], width)
@@ -320,7 +344,7 @@ def train_soms(
     samples: DataFrame,
     books: Sequence[Codebook],
     iterations: int,
-    copies: Sequence[Column] | None = None,
+    copies: Sequence[Column | PoissonDraw] | None = None,
     smooth_iterations: int | None = None,
     sigma_0: float = 10.0,
     sigma_f: float = 0.1,
@@ -332,7 +356,7 @@ def train_soms(
     """Train several maps together; one Spark action and one reading of ``samples`` per iteration for all.
 
     ``books`` are the initial maps (seeds, grids), ``copies`` how often each draws a row, such as
-    ``poisson_copies`` of several fractions. Each map is what ``train_som`` gives for its sample.
+    ``PoissonDraw`` of several fractions. Each map is what ``train_som`` gives for its sample.
     """
     books = list(books)
     for t in range(iterations if books else 0):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graticule.functions.dense import matrix, term_by_term
-from graticule.plans.som import Codebook, assign
+from graticule.functions.dense import matrix, nearest, squared_distance, term_by_term
+from graticule.operators.sampling import PoissonDraw
+from graticule.plans.som import Codebook, assign, samples_of_maps
 from graticule.session import small_side
 
 
@@ -41,6 +42,40 @@ def quality(rows: DataFrame, codebook: Codebook, features: str = "features") ->
     )
 
 
+def qualities(
+    rows: DataFrame, books: Sequence[Codebook], copies: Sequence[Column | PoissonDraw] | None = None, features: str = "features"
+) -> DataFrame:
+    """``quality`` of several maps, numbered in ``map``, each on the sample it draws, from one reading of ``rows``."""
+    drawn_rows, drawn_of = samples_of_maps(rows, books, copies, features)
+    names = ["map", "n", "distance", "diagonal", "adjacent"]
+
+    def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, distance = np.zeros((3, len(books)), np.int64), np.zeros(len(books))
+        for batch in batches:
+            x, samples = drawn_of(batch)
+            for m, (book, (drawn, again)) in enumerate(zip(books, samples)):
+                if not len(drawn):
+                    continue
+                own, k = x[drawn], min(2, book.neurons)
+                index = nearest(own, book.weights, k)
+                first, second = np.divmod(index[:, 0], book.cols), np.divmod(index[:, k - 1], book.cols)
+                dr, dc = np.abs(first[0] - second[0]), np.abs(first[1] - second[1])
+                distance[m] += again @ np.sqrt(squared_distance(own, book.weights, index[:, 0]))
+                counts[:, m] += [again.sum(), again[(dr == 1) & (dc == 1)].sum(), again[(dr <= 1) & (dc <= 1) & (dr + dc > 0)].sum()]
+        columns = [pa.array(np.arange(len(books)), pa.int32()), *map(pa.array, (counts[0], distance, counts[1], counts[2]))]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "map int, n bigint, distance double, diagonal bigint, adjacent bigint"
+    # A map that draws no row has a line too.
+    none = rows.sparkSession.createDataFrame([(m, 0, 0.0, 0, 0) for m in range(len(books))], kinds)
+    found = drawn_rows.mapInArrow(partials, kinds).unionByName(none).groupBy("map").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    share = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n"))
+    return found.select(
+        "map", "n", share("distance").alias("quantization_error"), share("diagonal").alias("diagonal_rate"),
+        share("adjacent").alias("adjacent_rate"), (1.0 - share("adjacent")).alias("topographic_error"),
+    )
+
+
 def clusters(rows: DataFrame, codebook: Codebook, features: str = "features") -> DataFrame:
     """Every neuron as a cluster: (neuron, row, col, n, mean_distance), empty ones included."""
     sizes = (
