@@ -56,6 +56,7 @@ BITMAP_BITS = 2048
 BITMAP_MEMBERS = 512
 BLOCK_MEMBERS = 512
 PAIRS_AT_ONCE = 1 << 16
+PAIRS_HELD = 1 << 18
 
 
 def _sets(width: int):
@@ -180,23 +181,39 @@ def _compared(percent: int, forest: bool):
     def found(batch: pa.RecordBatch, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(ends):
             return
-        pairs = list(near(batch, ends))
-        x, y, share = (np.concatenate([p[n] for p in pairs]) for n in range(3))
-        if not len(x):
-            return
-        parts = pairs[0][3]
-        if forest:
-            some = _forest(parts[x], parts[y], np.argsort(share, kind="stable"))
-            x, y = x[some], y[some]
         keys, code = np.unique(_fixed(batch.column("key")), return_inverse=True)
-        low, high = np.minimum(code[x], code[y]), np.maximum(code[x], code[y])
-        pair = np.unique(low * len(keys) + high)
         first = np.zeros(len(keys), np.int64)
         first[code] = np.arange(len(code))
         column = batch.column("key")
-        yield pa.RecordBatch.from_arrays(
-            [column.take(pa.array(first[pair // len(keys)])), column.take(pa.array(first[pair % len(keys)]))], names=["a", "b"]
-        )
+
+        def named(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            low, high = np.minimum(code[x], code[y]), np.maximum(code[x], code[y])
+            pair = np.unique(low * len(keys) + high)
+            return pa.RecordBatch.from_arrays(
+                [column.take(pa.array(first[pair // len(keys)])), column.take(pa.array(first[pair % len(keys)]))], names=["a", "b"]
+            )
+
+        held, size = [], 0
+        for *pairs, parts in near(batch, ends):
+            held.append(pairs)
+            size += len(pairs[0])
+            if size < PAIRS_HELD:
+                continue
+            # A forest of a forest and further pairs is the forest of all of them; other pairs may go at once.
+            x, y, share = (np.concatenate([p[n] for p in held]) for n in range(3))
+            if forest:
+                some = np.sort(_forest(parts[x], parts[y], np.argsort(share, kind="stable")))
+                held, size = [[x[some], y[some], share[some]]], 0
+            else:
+                yield named(x, y)
+                held, size = [], 0
+        if not sum(len(p[0]) for p in held):
+            return
+        x, y, share = (np.concatenate([p[n] for p in held]) for n in range(3))
+        if forest:
+            some = _forest(parts[x], parts[y], np.argsort(share, kind="stable"))
+            x, y = x[some], y[some]
+        yield named(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.RecordBatch] = []
